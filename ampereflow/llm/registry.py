@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash, url_filter
+from . import decontaminate, exact_dedup, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_simhash": simhash.op7_simhash,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
+    "op3_decontaminate": decontaminate.OP3_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
