@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, pack, simhash, toxicity, url_filter
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_pack": pack.op5_pack,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_simhash": simhash.op7_simhash,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,

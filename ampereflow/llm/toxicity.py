@@ -17,7 +17,7 @@ SIZES = (3, 4, 5)
 BITS = 18
 #: Most labelled rows that a fit uses (those of least hash of their id) and features that it keeps.
 MAX_TRAIN = 8000
-MAX_FEATURES = 2048
+MAX_FEATURES = 4096
 SMOOTHING = 0.5
 THRESHOLD = 0.7
 _PIECE = 1 << 20
@@ -69,7 +69,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(seen[k, at].astype(np.int64)) for k in (0, 1))], names=["f", "neg", "pos"])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 400) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.03, steps: int = 400) -> tuple[np.ndarray, float]:
     """L2-penalised logistic regression by accelerated gradient descent; the bias has no penalty."""
     n = len(y)
     rate = 1.0 / (0.25 * float(np.square(x).sum(1).max() + 1) + penalty / n)
