@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, pack, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, pack, quality, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_pack": pack.op5_pack,
