@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, pack, quality, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, pack, pii, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_pack": pack.op5_pack,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_simhash": simhash.op7_simhash,
+    "op8_pii": pii.op8_pii,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
