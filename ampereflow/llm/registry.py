@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, pack, pii, quality, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, licenses, pack, pii, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,9 +13,11 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_pii": pii.op8_pii,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_licenses": licenses.op10_licenses,
 }
 ORACLES = {
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op10_licenses": licenses.OP10_SQL,
 }
