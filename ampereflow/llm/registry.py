@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, licenses, pack, pii, quality, simhash, toxicity, url_filter
+from . import decontaminate, exact_dedup, language, licenses, pack, pii, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_language": language.op2_language,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_pack": pack.op5_pack,
