@@ -1,0 +1,23 @@
+import corpus_pipeline
+from ampereflow.llm import common
+
+
+def test_stages_keep_columns_and_drop_what_they_reject(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = common.materialize(stage(spark, docs, sf), name)
+        assert docs.columns == columns and 0 < docs.count() <= before
+    ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == ids
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()} == ids
+
+
+def test_registry_names_every_operator():
+    from ampereflow.llm import registry
+
+    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
+    assert set(registry.ORACLES) <= set(registry.QUERIES)
