@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import re
 import zlib
+from array import array
 from typing import Iterator
 
 import numpy as np
@@ -16,7 +19,8 @@ from .common import materialize, text_or_empty
 
 CAPACITY = 1024
 END_ID = 2
-VOCABULARY = "byte_bpe_50k.json"
+#: The ranks file of the vocabulary ``byte_bpe_50k.json``, which gives the same ids.
+VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces that one population packs on average, populations for the same pieces, and their settings.
 SHARD = 4096
 ISLANDS = 2
@@ -25,52 +29,69 @@ GENERATIONS = 6
 EPOCHS = 2
 #: Share of a donor's bins, best filled first, that a crossover injects.
 INJECTED = 0.5
-_CACHE = 400_000
+#: Words in one generation of an encoder's memory.
+_CACHE = 200_000
+_ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RUNS = ("  ", "\n ", " \n", "\n\n")
 
 
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes, with a bounded memory of encoded words.
 
     No token of the vocabulary's pre-tokenizer reaches from a non-space into a following space, so a
-    text cut before each single space that follows a non-space has the tokens of its parts in order.
-    Texts where that can't be told by looking for single spaces are encoded in one.
+    text cut before each space or line break that stands between non-spaces has the tokens of its parts
+    in order. Most parts are words met before. Texts with other white space, or with several white
+    spaces in a row, are encoded in one. Of the words met, those of the last two generations are known.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.tokens = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        #: By the word that follows a space, or by a part that starts with a line break.
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokens(text)).tobytes()
+
+    def _learn(self, word: str) -> bytes:
+        """The ids of a space and ``word``, in which single line breaks may stand between non-spaces.
+
+        Letters and the marks after them never share a token, so each side is looked up by itself.
+        """
+        found = self.known.get(word)
+        if found is None:
+            base = word.rstrip(".,!%*&$#")
+            if "\n" in word:
+                first, line = word.rsplit("\n", 1)
+                found = self._learn(first) + self._learn("\n" + line) if first else self.whole(word)
+            elif len(base) == len(word) or not base.isalpha():
+                found = array("I", self.tokens(" " + word)).tobytes()
+            else:
+                marks = word[len(base) :]
+                found = self._learn(base) + (self.marks.get(marks) or self.marks.setdefault(marks, self.whole(marks)))
+            self.known[word] = found
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self._parts(t) for t in texts]
-        known = self.known
-        missing = list({p for words in parts for p in words if p not in known})
-        if len(known) + len(missing) > _CACHE:
-            known.clear()
-            missing = list({p for words in parts for p in words})
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            known.update(zip(part, self._encode(part)))
-        out = [b"".join([known[p] for p in words]) for words in parts]
-        if len(known) > _CACHE:
-            known.clear()
-        return out
-
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in rest[:-1]) or (rest and (not rest[-1] or rest[-1][0].isspace() or not first or first[-1].isspace())):
-            return [text]
-        return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
-
-
-def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+        split = [None if _ODD.search(t) or any(x in t for x in _RUNS) or t[:1] in " \n" or t[-1:] in " \n" else t.split(" ") for t in texts]
+        if len(self.known) > _CACHE:
+            self.known, self.older, self.marks = {}, self.known, {}
+        words = set().union(*[s[1:] for s in split if s])
+        words -= self.known.keys()
+        again = words & self.older.keys()
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        for word in words - again:
+            self._learn(word)
+        look = self.known.__getitem__
+        return [self.whole(t) if s is None else self.whole(s[0]) + b"".join(map(look, s[1:])) for t, s in zip(texts, split)]
+
+
+def pieces(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """``uid, doc_id, piece, start, length, ids_crc32`` for each piece of at most ``capacity`` ids.
 
     A document is the ids of its whole text and then ``END_ID``. Only longer documents are cut: the
@@ -78,7 +99,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = Encoder(vocabulary, pattern)
         end = np.array([END_ID], "<u4").tobytes()
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -234,22 +255,23 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return offsets.unionByName(full)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every piece of every document with its sequence and its offset in it.
 
     Null and empty texts are one piece of the end id alone. Repeated rows and rows without id are
     packed like any other. Only the id and text columns are read. An empty table gives no rows.
     """
-    cut = materialize(pieces(docs, vocabulary, id_col, text_col), "pieces")
+    cut = materialize(pieces(docs, vocabulary, pattern, id_col, text_col), "pieces")
     placed = pack(cut.select("uid", "length"))
     return cut.join(placed, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def registered_vocabulary() -> str:
+def registered_vocabulary() -> tuple[str, str]:
+    """Path of the ranks file and the pattern of its pre-tokenizer."""
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
 def op5_pack(spark, sf_dir):
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), registered_vocabulary())
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), *registered_vocabulary())
