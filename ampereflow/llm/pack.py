@@ -22,13 +22,15 @@ END_ID = 2
 #: The ranks file of the vocabulary ``byte_bpe_50k.json``, which gives the same ids.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces that one population packs on average, populations for the same pieces, and their settings.
-SHARD = 4096
+SHARD = 16384
 ISLANDS = 2
 POPULATION = 3
-GENERATIONS = 6
+GENERATIONS = 8
 EPOCHS = 2
-#: Share of a donor's bins, best filled first, that a crossover injects.
-INJECTED = 0.5
+#: Largest share of a donor's bins, best filled first, that a crossover injects, and of its own emptiest bins that it opens.
+INJECTED, OPENED = 0.5, 0.1
+#: Sizes that are tried as the largest of three items that fill a room.
+TRIED = 40
 #: Words in one generation of an encoder's memory.
 _CACHE = 200_000
 _ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -160,49 +162,175 @@ def best_fit(sizes: np.ndarray, order: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+class Pool:
+    """Displaced items by size, the sizes present as the bits of one number."""
+
+    def __init__(self, sizes: list[int], items: list[int], capacity: int):
+        self.by_size: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.capacity, self.mask, self.mirrored = capacity, 0, 0
+        for item in items:
+            self.put(item, sizes[item])
+
+    def put(self, item: int, size: int) -> None:
+        self.by_size[size].append(item)
+        self.mask |= 1 << size
+        self.mirrored |= 1 << (self.capacity - size)
+
+    def take(self, size: int) -> int:
+        item = self.by_size[size].pop()
+        if not self.by_size[size]:
+            self.mask &= ~(1 << size)
+            self.mirrored &= ~(1 << (self.capacity - size))
+        return item
+
+    def largest(self, size: int) -> int:
+        """The greatest size present that is at most ``size``, or less than 1."""
+        return (self.mask & ((2 << size) - 1)).bit_length() - 1
+
+
+    def exact(self, room: int) -> tuple[int, ...]:
+        """One, two or three sizes present that add up to ``room``, larger ones first; nothing if there are none.
+
+        Bit b of the mask and of the mirrored mask shifted by the room are both set where b and its
+        complement are present, so all pairs are tried at once.
+        """
+        if self.mask >> room & 1:
+            return (room,)
+        pairs = self._pair(room)
+        if pairs:
+            return pairs
+        first = self.largest(room)
+        for _ in range(TRIED):
+            if first < 1:
+                break
+            rest = self._pair(room - first)
+            if rest and len(self.by_size[first]) > rest.count(first):
+                return (first, *rest)
+            first = self.largest(first - 1)
+        return ()
+
+    def _pair(self, room: int) -> tuple[int, ...]:
+        both = self.mask & (self.mirrored >> (self.capacity - room)) & ((1 << room) - 1)
+        while both > 1:
+            size = both.bit_length() - 1
+            if 2 * size != room or len(self.by_size[size]) > 1:
+                return size, room - size
+            both &= ~(1 << size)
+        return ()
+
+
+def exact_fill(sizes: np.ndarray, order: np.ndarray, capacity: int) -> np.ndarray:
+    """Bin of each item when the largest item left is joined by one, two or three that fill its bin exactly.
+
+    Larger items are taken first, so that small ones are left for where they are needed; a bin that
+    can't be filled exactly takes the largest items that fit. Items of one size come in ``order``.
+    """
+    size_of = sizes.tolist()
+    pool = Pool(size_of, order.tolist(), capacity)
+    out = np.empty(len(sizes), np.int32)
+    number = 0
+    while pool.mask:
+        size = pool.mask.bit_length() - 1
+        out[pool.take(size)] = number
+        room = capacity - size
+        while room:
+            chosen = pool.exact(room)
+            if not chosen:
+                size = pool.largest(room)
+                chosen = (size,) if size > 0 else ()
+            if not chosen:
+                break
+            for size in chosen:
+                out[pool.take(size)] = number
+                room -= size
+        number += 1
+    return out
+
+
 def fitness(sizes: np.ndarray, assigned: np.ndarray, capacity: int) -> float:
     """Fewer bins first; among equals, bins filled more unevenly (mean squared fill)."""
     fill = np.bincount(assigned, sizes) / capacity
     return -float(len(fill)) + float(np.square(fill).mean())
 
 
+def replace_dominated(sizes: list[int], bins: list[list[int]], rooms: list[int], pool: Pool) -> None:
+    """Fill bins that have room: add a displaced item, or exchange one of their items for a larger one that still fits.
+
+    Bins get fuller and what is displaced gets smaller and thus easier to place; ends when nothing changes.
+    """
+    open_bins = [at for at, room in enumerate(rooms) if room]
+    while open_bins and pool.mask:
+        changed = []
+        for at in open_bins:
+            room, members, before = rooms[at], bins[at], rooms[at]
+            size = pool.largest(room)
+            while size > 0:
+                members.append(pool.take(size))
+                room -= size
+                size = pool.largest(room)
+            for i, item in enumerate(members):
+                if not room:
+                    break
+                own = sizes[item]
+                size = pool.largest(own + room)
+                if size > own:
+                    members[i] = pool.take(size)
+                    pool.put(item, own)
+                    room -= size - own
+            if room != before:
+                rooms[at] = room
+                if room:
+                    changed.append(at)
+        open_bins = changed
+
+
 def crossover(sizes: np.ndarray, mother: np.ndarray, father: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     """Child of ``mother`` with whole well-filled bins of ``father``.
 
-    Bins of the mother that hold an injected item are removed, so that no item is twice there; their
-    other items are displaced and placed best fit, largest first.
+    Bins of the mother that hold an injected item are removed, so that no item is twice there, and so
+    are some of her emptiest bins. Displaced items first replace smaller ones in bins with room; what
+    is displaced in the end is placed best fit, largest first.
     """
     fill = np.bincount(father, sizes)
     best = np.argsort(-(fill + rng.random(len(fill)) * 0.02 * capacity), kind="stable")
     chosen = np.zeros(len(fill), bool)
     chosen[best[: max(1, int(len(best) * INJECTED * rng.random()))]] = True
     injected = chosen[father]
-    broken = np.zeros(int(mother.max()) + 1, bool)
+    own = np.bincount(mother, sizes)
+    broken = np.zeros(len(own), bool)
     broken[mother[injected]] = True
-    displaced = broken[mother] & ~injected
-    stays = ~broken[mother]
-    child = np.full(len(sizes), -1, np.int64)
-    child[stays] = mother[stays]
-    child[injected] = father[injected] + len(broken)
-    kept, child[child >= 0] = np.unique(child[child >= 0], return_inverse=True)
-    room = capacity - np.bincount(child[child >= 0], sizes[child >= 0], len(kept)).astype(np.int64)
-    bins = Bins(capacity)
-    for r in room.tolist():
-        bins.open(r)
-    items = np.flatnonzero(displaced)
-    items = items[np.argsort(-sizes[items], kind="stable")]
-    for item, size in zip(items.tolist(), sizes[items].tolist()):
-        child[item] = bins.place(size)
-    return child.astype(np.int32)
+    broken[np.argsort(own + rng.random(len(own)) * 0.01 * capacity, kind="stable")[: 2 + int(len(own) * OPENED * rng.random())]] = True
+    stays = ~broken[mother] & ~injected
+    placed = np.where(injected, father + len(broken), np.where(stays, mother, -1))
+    kept, at = np.unique(placed[placed >= 0], return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    items = np.flatnonzero(placed >= 0)[order]
+    counts = np.bincount(at, minlength=len(kept))
+    bins = [b.tolist() for b in np.split(items, np.cumsum(counts)[:-1])] if len(kept) else []
+    rooms = (capacity - np.bincount(at, sizes[placed >= 0], len(kept)).astype(np.int64)).tolist()
+    size_of = sizes.tolist()
+    pool = Pool(size_of, rng.permutation(np.flatnonzero(placed < 0)).tolist(), capacity)
+    replace_dominated(size_of, bins, rooms, pool)
+    child = np.empty(len(sizes), np.int32)
+    for number, members in enumerate(bins):
+        child[members] = number
+    rest = Bins(capacity)
+    for room in rooms:
+        rest.open(room)
+    while pool.mask:
+        size = pool.mask.bit_length() - 1
+        child[pool.take(size)] = rest.place(size)
+    return child
 
 
 def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed: int) -> list[np.ndarray]:
-    """``GENERATIONS`` crossovers; a child better than the worst member replaces it. Best first."""
+    """Members from best fit and exact fill, then ``GENERATIONS`` crossovers; a child better than the worst member replaces it. Best first."""
     rng = np.random.default_rng(seed)
     least = int(np.ceil(sizes.sum() / capacity))
     while len(population) < POPULATION:
-        noise = rng.random(len(sizes)) * (0.0 if not population else 0.05 * capacity)
-        population.append(best_fit(sizes, np.argsort(-(sizes + noise), kind="stable"), capacity))
+        noise = rng.random(len(sizes)) * 0.05 * capacity * (len(population) > 1)
+        order = np.argsort(-(sizes + noise), kind="stable")
+        population.append((best_fit if len(population) != 1 else exact_fill)(sizes, order, capacity))
     scored = sorted(((fitness(sizes, p, capacity), i, p) for i, p in enumerate(population)), key=lambda s: (-s[0], s[1]))[:POPULATION]
     for step in range(GENERATIONS):
         if int(scored[0][2].max()) + 1 <= least or len(scored) < 2:
@@ -213,8 +341,11 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed:
     return [s[2] for s in scored]
 
 
-def _epoch(population: DataFrame, capacity: int, epoch: int) -> DataFrame:
-    """One epoch of every island: its members evolve; ``rank`` 0 is its elite."""
+def _epoch(population: DataFrame, capacity: int, epoch: int, tasks: int) -> DataFrame:
+    """One epoch of every island: its members evolve; ``rank`` 0 is its elite.
+
+    Rows are few and work is much, so the number of tasks follows the number of islands, not of bytes.
+    """
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
         shard, island = int(table["shard"].iloc[0]), int(table["island"].iloc[0])
@@ -223,7 +354,7 @@ def _epoch(population: DataFrame, capacity: int, epoch: int) -> DataFrame:
         members = evolve(sizes, start, capacity, seed=(shard * ISLANDS + island) * 100 + epoch)
         return pd.DataFrame({"shard": shard, "island": island, "rank": range(len(members)), "score": [fitness(sizes, m, capacity) for m in members], "sizes": [sizes] * len(members), "assigned": members})
 
-    return population.groupBy("shard", "island").applyInPandas(run, "shard long, island int, rank int, score double, sizes array<long>, assigned array<int>")
+    return population.repartition(tasks, "shard", "island").groupBy("shard", "island").applyInPandas(run, "shard long, island int, rank int, score double, sizes array<long>, assigned array<int>")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -242,7 +373,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))
     population = sizes.withColumn("island", islands).withColumn("assigned", F.lit(None).cast("array<int>"))
     for epoch in range(EPOCHS):
-        evolved = materialize(_epoch(population, capacity, epoch), "islands")
+        evolved = materialize(_epoch(population, capacity, epoch, -(-shards * ISLANDS // 2)), "islands")
         movers = evolved.filter("rank = 0").withColumn("island", (F.col("island") + 1) % ISLANDS)
         population = evolved.unionByName(movers).select("shard", "island", "sizes", "assigned")
     best = evolved.groupBy("shard").agg(F.max_by("assigned", F.struct("score", -F.col("island"), -F.col("rank"))).alias("assigned"))

@@ -56,6 +56,26 @@ def test_best_fit_takes_the_tightest_bin():
     assert pack.best_fit(sizes, np.arange(5), 10).tolist() == [0, 1, 0, 1, 2]
 
 
+def test_exact_fill_finds_what_best_fit_misses():
+    sizes = np.array([7, 6, 4, 4, 3, 3, 2, 1, 5, 5])
+    found = pack.exact_fill(sizes, np.arange(10), 10)
+    assert np.bincount(found, sizes).tolist() == [10] * 4
+    rng = np.random.default_rng(4)
+    for capacity in (12, 100, 1024):
+        for _ in range(20):
+            sizes = rng.integers(1, capacity, 60)
+            found = pack.exact_fill(sizes, rng.permutation(60), capacity)
+            assert np.bincount(found, sizes).max() <= capacity and (np.bincount(found) > 0).all()
+
+
+def test_pool_finds_exact_sums():
+    sizes = [5, 5, 3, 2]
+    pool = pack.Pool(sizes, [0, 1, 2, 3], 20)
+    assert pool.exact(10) == (5, 5) and pool.exact(8) == (5, 3) and pool.exact(12) == (5, 5, 2) and pool.exact(6) == () and pool.exact(3) == (3,)
+    pool.take(5)
+    assert pool.exact(10) == (5, 3, 2) and pool.largest(4) == 3 and pool.largest(1) < 1
+
+
 def test_crossover_keeps_every_item_once_and_within_capacity():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 1024, 500)
