@@ -17,7 +17,7 @@ from ..schemas import non_negative, stripped
 #: Digits with an optional sign, point and exponent; no type suffixes, underscores or names of infinities.
 NUMBER = r"\A[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 #: Date and time in extended or compact form with optional fraction and zone; a date or a number alone is none.
-STAMP = r"\A([0-9]{4})-?([0-9]{2})-?([0-9]{2})[T ]([0-9]{2}):?([0-9]{2})(?::?([0-9]{2})(?:[.,]([0-9]{1,6})[0-9]*)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?\z"
+STAMP = r"\A([0-9]{4})(-?)([0-9]{2})\2([0-9]{2})[T ]([0-9]{2})(?:(:?)([0-9]{2})(?:\6([0-9]{2})(?:[.,]([0-9]{1,6})[0-9]*)?)?)?(Z|[+-][0-9]{2}(?::?[0-9]{2})?)?\z"
 
 
 def number(text: Column) -> Column:
@@ -65,9 +65,9 @@ def zone(name: str | None) -> str | None:
 def _parts(text: Column) -> tuple[Column, Column]:
     clean = stripped(text)
     part = lambda i: F.regexp_extract(clean, STAMP, i)
-    second = F.when(part(6) == "", "00").otherwise(part(6))
-    local = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), part(4), F.lit(":"), part(5), F.lit(":"), second, F.lit("."), F.rpad(part(7), 6, "0"))
-    offset = F.regexp_replace(part(8), "^([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    or_zero = lambda i: F.when(part(i) == "", "00").otherwise(part(i))
+    local = F.concat(part(1), F.lit("-"), part(3), F.lit("-"), part(4), F.lit(" "), part(5), F.lit(":"), or_zero(7), F.lit(":"), or_zero(8), F.lit("."), F.rpad(part(9), 6, "0"))
+    offset = F.regexp_replace(F.regexp_replace(part(10), "^([+-][0-9]{2})$", "$1:00"), "^([+-][0-9]{2})([0-9]{2})$", "$1:$2")
     return F.when(clean.rlike(STAMP), local), offset
 
 

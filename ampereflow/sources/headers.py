@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
@@ -13,6 +12,9 @@ from ..errors import InvalidRequestError
 ACCEPT, LEAD = 0.85, 0.05
 REQUIRED = ("consumer_id", "timestamp", "value_mw")
 UNITS = ("MW", "kW")
+#: Last words of a header that state a power unit, or something that is none.
+POWER_WORDS = ("mw", "kw")
+ENERGY_WORDS = ("mwh", "kwh", "wh", "w", "hour")
 
 
 def normalize_name(name: str) -> str:
@@ -107,30 +109,25 @@ def require_consumption_fields(fields: tuple[Field, ...]) -> tuple[Field, ...]:
     return fields
 
 
-def _unit_of(header: str) -> str | None:
-    """The power or energy unit that a header ends in, lower-cased; ``energy`` for units of energy."""
-    words = normalize_name(header).split()
-    joined = "".join(words[-2:]) if len(words) > 1 else ""
-    if not words:
-        return None
-    if re.fullmatch(r"[kmg]?w(h|hr|hour)s?", words[-1]) or re.fullmatch(r"[kmg]?w(h|hr|hour)s?", joined):
-        return "energy"
-    return words[-1] if words[-1] in ("w", "kw", "mw", "gw") else None
+def claims_energy(words: list[str]) -> bool:
+    """A header that ends in a unit of energy, or in a bare watt, is no power in the configured unit."""
+    return words[-1:] != [] and (words[-1] in ENERGY_WORDS or words[-2:] == ["mw", "h"])
 
 
 def safe_units(resolver: Resolver, found: Resolution, unit: str) -> Resolution:
     """Withdraw hits for ``value_mw`` whose header does not state the configured power unit safely.
 
-    A fuzzy hit must end in that unit; an exact one must not end in an energy unit or in another power
-    unit, except that the canonical name itself is always taken as given.
+    A fuzzy hit must end in that unit; an exact one must not end in an energy unit or in the other
+    power unit. Nothing is converted here.
     """
     out = []
     for m in found.matches:
-        ends = _unit_of(m.header)
-        wrong = ends == "energy" or (ends is not None and ends != unit.lower())
-        canonical = normalize_name(m.header) == normalize_name("value_mw")
-        if m.field == "value_mw" and not canonical and (wrong or (m.status == "fuzzy" and ends != unit.lower())):
-            m = Match(m.header, "unresolved")
+        if m.field == "value_mw":
+            words = normalize_name(m.header).split()
+            last = words[-1] if words else ""
+            other = last != unit.lower() if m.status == "fuzzy" else last in POWER_WORDS and last != unit.lower()
+            if other or claims_energy(words):
+                m = Match(m.header, "unresolved")
         out.append(m)
     return resolver.settle(tuple(out))
 

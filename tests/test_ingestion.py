@@ -41,6 +41,7 @@ def test_unsafe_units_are_refused(header):
 def test_unit_follows_the_configuration():
     assert resolved(["consumer_id", "timestamp", "Consumption_kW"], "kW").usable
     assert not resolved(["consumer_id", "timestamp", "Consumption_MW"], "kW").usable
+    assert not resolved(["consumer_id", "timestamp", "value_mw"], "kW").usable
     with pytest.raises(InvalidRequestError):
         consumption_fields("GW")
 
@@ -114,6 +115,25 @@ def test_source_zone_and_ambiguous_times(spark):
         tabular.ingest(spark, ["consumer_id", "timestamp", "value_mw"], rows, "s", source_zone="No/Where")
 
 
+def test_stamps_are_read_like_iso_text(spark):
+    from datetime import datetime, timezone
+
+    from pyspark.sql import functions as F
+
+    from ampereflow.functions.normalize import timestamp_utc
+
+    texts = ["2026-09-05T00:00:00+04:00", "20260905T000000Z", "2026-09-05T00", "2026-09-05 01:02", "2026-09-05T0102", "2026-09-05T01:02:03.5", "2026-09-05T01:02:03,123456789", "2026-09-05T01:02:03+04", "2026-09-05T01:02:03-0330", "2026-0905T00:00", "2026-09-05T01:0203", "2026-02-30T00:00", "2026-09-05T25:00", "2026-09-05", "1234", "12.5", "", "nonsense T"]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", timestamp_utc(F.col("t"), "UTC").alias("u")).collect()
+    for r in found:
+        try:
+            value = datetime.fromisoformat(texts[r.i]) if "T" in texts[r.i] or " " in texts[r.i] else None
+        except ValueError:
+            value = None
+        if value is not None and value.tzinfo:
+            value = value.astimezone(timezone.utc).replace(tzinfo=None)
+        assert r.u == value, texts[r.i]
+
+
 def test_kilowatts(spark):
     rows = spark.createDataFrame([(2, ["c", "2026-07-01T02:00:00Z", "1500"]), (3, ["c", "2026-07-01T03:00:00Z", "1e3"])], "pos bigint, cells array<string>")
     got = tabular.ingest(spark, ["consumer_id", "timestamp", "Consumption_kW"], rows, "s", unit="kW")
