@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidRequestError
 from ..functions.grid import Grid
 from ..series import LOAD, Series
 
+#: Grid steps in one bucket of a gap search.
+BUCKET = 1024
+
 
 def issues(rows: DataFrame, grid: Grid | None = None, series: Series = LOAD, pos: str = "pos") -> DataFrame:
     """``rows`` with ``issue``: ``duplicate``, ``misaligned`` or null.
 
     Every member of a group of equal entity and instant is a duplicate, exact copies too; that beats
-    being off the grid. Sizes of groups are counted before the shuffle and joined back, so one instant
-    that a third of all rows claim is no hot task.
+    being off the grid. Only keys that repeat are joined back, after counting them before the shuffle.
     """
     sizes = rows.groupBy(*series.row).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     copies = sizes.select(*[F.col(c).alias(f"__{c}") for c in series.row])
@@ -29,15 +31,37 @@ def issues(rows: DataFrame, grid: Grid | None = None, series: Series = LOAD, pos
     return marked.select(*rows.columns, issue.alias("issue"))
 
 
+def neighbour(rows: DataFrame, keys: tuple[str, ...], place: Column, width: int, column: str, ahead: bool) -> DataFrame:
+    """``rows`` with ``__near``: ``column`` of the row after (``ahead``) or before, by ``place``, of the same keys.
+
+    Places are unique, so a bucket of ``width`` places holds at most as many rows, and rows are sorted
+    by bucket instead of by whole entities. Across buckets the neighbour is the edge of the next bucket
+    that has rows; only one row a bucket is sorted by entity for that.
+    """
+    placed = rows.withColumn("__place", place).withColumn("__bucket", F.floor(F.col("__place") / width))
+    inner = Window.partitionBy(*keys, "__bucket").orderBy("__place")
+    outer = Window.partitionBy(*keys).orderBy("__b")
+    edge = (F.min_by if ahead else F.max_by)(F.col(column), F.col("__place"))
+    edges = placed.groupBy(*keys, F.col("__bucket").alias("__b")).agg(edge.alias("__edge"))
+    step = F.lead if ahead else F.lag
+    edges = edges.select(*[F.col(k).alias(f"__{k}") for k in keys], "__b", step("__edge").over(outer).alias("__edge"))
+    same = F.col("__bucket") == F.col("__b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    joined = placed.withColumn("__inner", step(column).over(inner)).join(edges, same)
+    return joined.select(*rows.columns, F.coalesce("__inner", "__edge").alias("__near"))
+
+
 def gaps(rows: DataFrame, grid: Grid, series: Series = LOAD) -> DataFrame:
     """Missing ranges between neighbours: keys, ``first_missing, last_missing, missing, message``.
 
     ``rows`` are survivors of ``issues``. Nothing is inferred before the first or after the last
     instant, and nothing is filled in.
     """
-    here = Window.partitionBy(*series.keys).orderBy(series.time)
+    place = F.unix_micros(F.col(series.time).cast("timestamp"))
+    near = neighbour(rows.select(*series.row), series.keys, place, grid.step_us * BUCKET, series.time, ahead=True)
     steps = grid.steps_between(F.col(series.time), F.col("__next"))
-    wide = rows.select(*series.row, F.lead(series.time).over(here).alias("__next")).withColumn("__steps", steps).filter("__steps > 1")
+    wide = near.withColumnRenamed("__near", "__next").withColumn("__steps", steps).filter("__steps > 1")
     missing = F.col("__steps") - 1
     text = F.concat(missing.cast("string"), F.when(missing == 1, " interval is missing").otherwise(" intervals are missing"))
     return wide.select(
@@ -69,8 +93,8 @@ def chronology(rows: DataFrame, series: Series = LOAD, pos: str = "pos") -> Data
 
     ``violation`` is ``duplicate`` for an equal instant and ``out_of_order`` for an earlier one.
     """
-    order = Window.partitionBy(*series.keys).orderBy(pos)
-    before = rows.select(*series.row, pos, F.lag(series.time).over(order).alias("__before")).filter(F.col("__before") >= F.col(series.time))
+    near = neighbour(rows.select(*series.row, pos), series.keys, F.col(pos).cast("bigint"), BUCKET * 64, series.time, ahead=False)
+    before = near.withColumnRenamed("__near", "__before").filter(F.col("__before") >= F.col(series.time))
     kind = F.when(F.col("__before") == F.col(series.time), "duplicate").otherwise("out_of_order")
     return before.groupBy(*series.keys).agg(F.min(F.struct(F.col(pos).alias("pos"), kind.alias("violation"))).alias("v")).select(*series.keys, "v.pos", "v.violation")
 

@@ -128,6 +128,18 @@ def test_issues_and_gaps(spark):
     assert validation.issues(rows).filter("issue = 'misaligned'").count() == 0
 
 
+@pytest.mark.parametrize("bucket", [1, 2, 1024])
+def test_neighbours_across_buckets(spark, monkeypatch, bucket):
+    monkeypatch.setattr(validation, "BUCKET", bucket)
+    hours = [0, 1, 2, 5, 6, 40, 41, 100]
+    rows = history(spark, {h: 1 for h in hours}).union(history(spark, {3: 1, 50: 1}, "d"))
+    found = validation.gaps(rows, Grid(3_600_000_000)).collect()
+    expected = [("c", b - a - 1) for a, b in zip(hours, hours[1:]) if b - a > 1] + [("d", 46)]
+    assert sorted((r.consumer_id, r.missing) for r in found) == sorted(expected)
+    order = spark.createDataFrame([("c", T0 + timedelta(hours=h), i * 100) for i, h in enumerate([0, 1, 3, 2, 2, 5])], "consumer_id string, timestamp timestamp_ntz, pos bigint")
+    assert [(r.pos, r.violation) for r in validation.chronology(order).collect()] == [(300, "out_of_order")]
+
+
 def test_strict_checks(spark):
     rows = history(spark, {0: 1, 2: 2, 1: 3}).withColumn("pos", F.when(F.hour("timestamp") == 0, 1).when(F.hour("timestamp") == 2, 2).otherwise(3))
     with pytest.raises(InvalidRequestError, match="out of order"):
