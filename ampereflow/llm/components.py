@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """One star step over undirected ``edges (u, v)``, u < v.
+def _star(edges: DataFrame, larger: bool) -> tuple[DataFrame, DataFrame]:
+    """One star step over undirected ``edges (u, v)``, u < v, and the table of minima that it reads.
 
     The large star links each node's larger neighbours to the smallest node of its neighbourhood, the
-    small star its smaller neighbours and itself. Minima are pre-aggregated; a hub's rows stay spread,
-    because they meet its minimum in a join that Spark can split.
+    small star its smaller neighbours and itself. Minima are pre-aggregated and written; a hub's rows
+    meet its minimum in a join of two plain tables, which Spark can split.
     """
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     rows = both.filter("v > u") if larger else both.filter("v < u")
     lowest = both if larger else rows
-    lowest = lowest.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(F.col("u").alias("k"), "m")
+    lowest = materialize(lowest.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(F.col("u").alias("k"), "m"), "minima")
     linked = rows.join(lowest, F.col("u") == F.col("k")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not larger:
         linked = linked.union(lowest.select(F.col("k"), F.col("m")))
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    return linked.filter("a <> b").select(low.alias("u"), high.alias("v")).distinct()
+    return linked.filter("a <> b").select(low.alias("u"), high.alias("v")).distinct(), lowest
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -40,9 +40,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         stats = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("bigint")).alias("h")).first()
         if not stats.n:
             break
-        step = materialize(_star(_star(current, True), False), "links")
+        large, first = _star(current, True)
+        small, second = _star(large, False)
+        step = materialize(small, "links")
         after = step.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("bigint")).alias("h")).first()
-        drop_table(current)
+        for table in (current, first, second):
+            drop_table(table)
         current = step
         if stats == after:
             break

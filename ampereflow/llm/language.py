@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import broadcast_within, materialize, text_or_empty
 
 #: Bytes in an n-gram, and bits of its hash.
 SIZE, BITS = 3, 14
@@ -27,6 +27,8 @@ MAX_TRAIN = 8000
 EFFECTIVE = 60
 #: Weight of the level above in each smoothing step, and the count added to every cell.
 PRIOR_WEIGHT, ADDED = 5.0, 0.5
+#: Most hosts, domains, suffixes or declared languages whose counts are broadcast; beyond, a shuffle joins them.
+BROADCAST_ROWS = 50_000
 _DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 _CLEAN = bytes(32 if i < 128 and not chr(i).isalpha() else i for i in range(256))
 _PIECE = 1 << 20
@@ -125,7 +127,8 @@ def identify(pages: DataFrame, langs: list[str], model: np.ndarray, id_col: str
     twice. Ties go to the first language by name. Pages without text, markup or address are judged by
     what evidence there is, in the end by the global shares. Rows that repeat get a row each; other
     columns are not read. Without languages ``lang`` is null. A host that holds a third of all pages is
-    one pre-aggregated row that its pages meet in a join that Spark can split.
+    one pre-aggregated row of a written table, which its pages meet by a bounded broadcast or in a join
+    that Spark can split.
     """
     if not langs:
         return pages.select(F.col(f"`{id_col}`").alias(id_col), *[F.lit(None).cast(t).alias(n) for n, t in (("lang", "string"), ("probability", "double"), ("text_lang", "string"), ("declared", "string"))])
@@ -134,8 +137,8 @@ def identify(pages: DataFrame, langs: list[str], model: np.ndarray, id_col: str
     own = F.transform(names, lambda x: F.when(x == F.col("text_lang"), 1.0).otherwise(0.0))
     joined = rows.withColumn("own", own)
     for key in ("host", "domain", "suffix", "declared"):
-        tally = _tally(rows, key, langs, f"by_{key}")
-        joined = joined.join(tally, F.col(key) == F.col(f"__by_{key}"), "left").drop(f"__by_{key}")
+        tally = materialize(_tally(rows, key, langs, f"by_{key}"), "tally")
+        joined = joined.join(broadcast_within(tally, BROADCAST_ROWS), F.col(key) == F.col(f"__by_{key}"), "left").drop(f"__by_{key}")
     everything = rows.agg(F.array(*[F.count(F.when(F.col("text_lang") == lang, 1)).cast("double") for lang in langs]).alias("a")).first().a
     whole = F.array(*[F.lit(float(n)) for n in everything])
     size = F.lit(float(sum(everything)))

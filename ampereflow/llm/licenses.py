@@ -113,11 +113,12 @@ def inherit(files: DataFrame, sources: DataFrame) -> DataFrame:
     """``files (id, dir)`` with the license of the nearest directory above that has one.
 
     ``sources (dir, license, from_id)`` has each directory once. Each different directory is resolved
-    once by joining its ancestors; files then join their directory, so a directory that holds a third of
-    all files is one row of the search.
+    once by joining its ancestors, so one that holds a third of all files is one row of the search. The
+    answers are written, and files join them by a broadcast of bounded size or in a join that Spark can split.
     """
     wanted = files.select("dir").distinct().select("dir", F.explode(_ancestors(F.col("dir"))).alias("up"))
     nearest = wanted.join(sources.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("license", "from_id"), F.length("up")).alias("found"))
+    nearest = broadcast_within(materialize(nearest, "nearest"), BROADCAST_ROWS)
     return files.join(nearest, "dir", "left").select("id", F.col("found.license").alias("license"), F.col("found.from_id").alias("from_id"))
 
 

@@ -191,14 +191,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     paired up. ``component_id`` is the smallest id reachable over links of at most ``MAX_BITS``
     differing bits, a row's own id included. Null and empty texts have fingerprint zero, which is
     linked like any other. Null ids are carried along and never become a component's id unless all ids
-    of the component are null. An empty table gives no rows.
+    of the component are null. An empty table gives no rows. Minima are aggregated and written before
+    they are joined, so that Spark can split the join of a hot fingerprint or component.
     """
     marked = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     roots = materialize(connected_components(near_links(nodes.select("fp"))), "roots")
-    labelled = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = labelled.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id")
+    linked = materialize(nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first"), "linked")
+    smallest = materialize(linked.groupBy("root").agg(F.min("first").alias("smallest")), "smallest")
+    found = linked.join(smallest, "root").select(F.col("fp").alias("__linked"), "smallest", F.lit(True).alias("__in"))
+    component = F.when(F.col("__in"), F.col("smallest")).otherwise(F.col("first"))
+    classes = materialize(nodes.join(found, F.col("fp") == F.col("__linked"), "left").select(F.col("fp").alias("__fp"), component.alias("component_id")), "classes")
     out = marked.join(classes, F.col("fp") == F.col("__fp"))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -94,6 +94,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     probes = addresses.withColumn("__token", F.explode(url_tokens(F.col("__host"), F.col("__path"))))
     hits = probes.join(broadcast_within(index, BROADCAST_RULES), F.col("__token") == F.col("token")).filter(F.expr("concat(__host, __path) rlike pattern"))
     best = hits.groupBy("__host", "__path").agg(F.max(F.struct("priority", "rule", "verdict")).alias("__best"))
+    best = materialize(best, "verdicts")  # a plain table, so that Spark can split the join of a hot address
     judged = base.join(best.toDF("__h", "__p", "__best"), (F.col("__host") == F.col("__h")) & (F.col("__path") == F.col("__p")), "left")
     return judged.select(F.col("__id").alias(id_col), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
 
