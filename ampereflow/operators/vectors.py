@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import islice
+from typing import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +52,78 @@ def search(entries: DataFrame, query: list[float], limit: int, distance: str = "
     return nearest.withColumn("rank", F.row_number().over(Window.orderBy(best, *key)))  # of at most limit rows
 
 
+def _tile(distance: str, asked: np.ndarray, stored: np.ndarray) -> np.ndarray:
+    """Scores of each query (row) and stored vector (column), summed in the order of the dimensions."""
+    if distance not in DISTANCES:
+        raise InvalidRequestError("unknown distance")
+    out, own, length = np.zeros((len(asked), len(stored))), np.zeros(len(stored)), np.zeros(len(asked))
+    for a, b in zip(asked.T, stored.T):
+        if distance in ("cosine", "dot"):
+            out += a[:, None] * b
+            own, length = own + b * b, length + a * a
+        else:
+            step = b - a[:, None]
+            out += step * step if distance == "euclid" else np.abs(step)
+    if distance == "euclid":
+        return np.sqrt(out)
+    if distance == "cosine":
+        scale = np.sqrt(own) * np.sqrt(length)[:, None]
+        return np.divide(out, scale, out=np.full_like(out, np.nan), where=scale != 0)
+    return out
+
+
+def _nearest(asked_ids: np.ndarray, asked: np.ndarray, limit: int, distance: str):
+    """A task's own ``limit`` best rows of each query, from batches of ``(id, vector)``."""
+    sign = -1.0 if distance in ("cosine", "dot") else 1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, width = asked.shape
+        ids, values = np.empty((count, 0), np.int64), np.empty((count, 0))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                rows = [v if v is not None and len(v) == width else [None] * width for v in part.column(1).to_pylist()]
+                stored = np.array(rows, np.float64).reshape(len(rows), width)
+                new = np.concatenate([_tile(distance, asked[j : j + 256], stored) for j in range(0, count, 256)])
+                ids = np.concatenate([ids, np.broadcast_to(part.column(0).to_numpy(), new.shape)], 1)
+                values = np.concatenate([values, new], 1)
+                best = np.lexsort((ids, sign * values), axis=-1)[:, :limit]
+                ids, values = np.take_along_axis(ids, best, 1), np.take_along_axis(values, best, 1)
+        if values.shape[1]:
+            flat = values.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked_ids, ids.shape[1])), pa.array(ids.ravel()), pa.array(flat, mask=np.isnan(flat))], names=["query_id", "id", "score"])
+
+    return run
+
+
+def search_all(entries: DataFrame, queries: DataFrame, limit: int, distance: str = "cosine", id_col: str = "vec_id", column: str = "vector", block: int = 2048) -> DataFrame:
+    """``(query_id, id_col, score, rank)``: the ``limit`` nearest entries of every row of ``queries``, exactly; ties by id.
+
+    Ids are whole numbers. Query vectors are sent out in blocks of at most ``block`` rows, one pass over
+    the entries each; a task keeps its own best rows of each query and those are merged. A vector that is
+    null or of another dimension has a null score, which comes last; queries must have one dimension.
+    """
+    if limit < 1:
+        raise InvalidRequestError("the limit must be positive")
+    if distance not in DISTANCES:
+        raise InvalidRequestError("unknown distance")
+    rows = entries.select(F.col(id_col).cast("bigint").alias("id"), F.col(column).cast("array<double>").alias("vector"))
+    asked = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(column).cast("array<double>").alias("vector")).toLocalIterator()
+    found = None
+    while part := list(islice(asked, block)):
+        if len({-1 if r.vector is None else len(r.vector) for r in part} | ({width} if found is not None else set())) > 1 or part[0].vector is None:
+            raise InvalidRequestError("the queries have different dimensions")
+        width = len(part[0].vector)
+        run = _nearest(np.array([r.id for r in part], np.int64), np.array([r.vector for r in part], np.float64).reshape(len(part), width), limit, distance)
+        own = rows.mapInArrow(run, "query_id bigint, id bigint, score double")
+        found = own if found is None else found.union(own)
+    if found is None:
+        found = rows.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double")
+    best = F.col("score").desc_nulls_last() if distance in ("cosine", "dot") else F.col("score").asc_nulls_last()
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(best, "id")))
+    return ranked.filter(F.col("rank") <= limit).withColumnRenamed("id", id_col)
+
+
 def prepare(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Chunks with their vectors by id; strict callers compare counts with :func:`require_complete`."""
     return chunks.join(embeddings.select(*KEY, "vector"), list(KEY))

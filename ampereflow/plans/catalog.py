@@ -354,5 +354,17 @@ def _knn(distance: str) -> None:
     query(f"knn_{distance}", f"SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY score {order}, vec_id) AS rank FROM (SELECT vec_id, {value} AS score FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1) AS q FROM embeddings)) ORDER BY score {order}, vec_id LIMIT 10")(run)
 
 
+def _knn_batch(distance: str) -> None:
+    value, order = _DISTANCE_SQL[distance]
+
+    def run(spark, d):
+        rows = table(spark, d, "embeddings").withColumn("vector", F.col("embedding").cast("array<double>"))
+        found = vectors.search_all(rows, rows.filter("vec_id % 20 = 0"), 10, distance)
+        return _rounded(found, "score").select("query_id", "vec_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+    query(f"knn_batch_{distance}", f"SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score {order}, vec_id) AS rank FROM (SELECT query_id, vec_id, {value} AS score FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) CROSS JOIN (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0))) WHERE rank <= 10")(run)
+
+
 for _distance in vectors.DISTANCES:
     _knn(_distance)
+    _knn_batch(_distance)
