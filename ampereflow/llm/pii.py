@@ -10,7 +10,8 @@ matches.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
+from itertools import accumulate
 from typing import Iterator
 
 import pyarrow as pa
@@ -94,18 +95,48 @@ def _side(words: list[str]) -> str:
     return " ".join(w.lower().strip(_EDGE) for w in words)
 
 
+def _pieces(text: str, start: int, end: int, starts: list[int], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """The candidates of a run of words: its parts between seeds, by words where a part is too long."""
+    at = start
+    gaps: list[tuple[int, int]] = []
+    for i in range(bisect_right(starts, start) - 1 if bisect_right(starts, start) else 0, len(starts)):
+        if starts[i] >= end:
+            break
+        if starts[i] > at:
+            gaps.append((at, starts[i]))
+        at = max(at, ends[i])
+    for a, b in [*gaps, (at, end)]:
+        words = [m.span() for m in _WORD.finditer(text, a, b)] if a < b else []
+        if not words:
+            continue
+        whole = _trimmed(text, a, b)
+        for s, e in [whole] if whole[1] - whole[0] <= MAX_CHARS else [_trimmed(text, *w) for w in words]:
+            if 4 <= e - s <= MAX_CHARS and _MARK.search(text, s, e):
+                yield s, e
+
+
+def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
+    while s < e and (text[s] in _EDGE or text[s].isspace()):
+        s += 1
+    while e > s and (text[e - 1] in _EDGE or text[e - 1].isspace()):
+        e -= 1
+    return s, e
+
+
 def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
     """``(kind or None, start, end, instance, left, right)`` of seeds and of other candidates.
 
     A candidate is a word with a digit or an at sign, joined over single spaces with the next such
-    words, without punctuation at its ends, of 4 to ``MAX_CHARS`` characters. Candidates that overlap a seed are left out, so each place is one occurrence.
+    words, without punctuation at its ends, of 4 to ``MAX_CHARS`` characters. Seeds cut it, and what is
+    left on either side is a candidate of its own. A join that is too long gives its words instead, so
+    each place is one occurrence.
     """
     out: list[tuple] = []
     if not spans and not re.search("[0-9@]", text):
         return out
     places = [(s, e, KINDS[k]) for k, s, e in spans]
     taken = sorted((s, e) for _, s, e in spans)
-    starts, ends = [s for s, _ in taken], sorted(e for _, e in taken)
+    starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     runs: list[list[int]] = []
     for m in _WORD.finditer(text):
         if not _MARK.search(m.group(0)):
@@ -114,12 +145,8 @@ def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
             runs[-1][1] = m.end()
         else:
             runs.append([m.start(), m.end()])
-    for s, e in runs:
-        while s < e and text[s] in _EDGE:
-            s += 1
-        while e > s and text[e - 1] in _EDGE:
-            e -= 1
-        if 4 <= e - s <= MAX_CHARS and bisect_left(starts, e) == bisect_right(ends, s):
+    for run in runs:
+        for s, e in _pieces(text, *run, starts, ends):
             places.append((s, e, None))
     for s, e, kind in places:
         left = text[max(0, s - 200) : s].split()[-LEFT_WORDS:]
