@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space; the same six characters as ``str.split`` uses on bytes.
@@ -67,6 +67,27 @@ def without_ids(docs: DataFrame, losers: DataFrame, id_col: str, rows: int = 200
     return docs.join(keys, docs[id_col] == keys["__loser"], "left_anti")
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, characters: int) -> DataFrame:
+    """``(label, text)`` of at most ``rows`` labelled rows of ``docs`` with at most ``characters`` characters in all.
+
+    A written table that is bounded by both numbers, whatever the size of ``docs``: the labelled ids of
+    least hash, and of their texts, in that order, those that end within ``characters``; texts of more than
+    a 64th of that are not learned from. Rows with null labels or ids are left out, and repeated labels
+    of an id count once (the largest).
+    """
+    known = labels.select(F.col(f"`{id_col}`").alias("__key"), F.col(f"`{label_col}`").cast("int").alias("label")).dropna()
+    known = known.groupBy("__key").agg(F.max("label").alias("label"))
+    picked = known.orderBy(F.xxhash64("__key"), "__key").limit(rows)
+    texts = docs.select(F.col(f"`{id_col}`").alias("__id"), text_or_empty(text_col).alias("text"))
+    joined = texts.join(F.broadcast(picked), F.col("__id") == F.col("__key")).select("__id", "label", "text", F.length("text").alias("__n"))
+    found = materialize(joined.filter(F.col("__n") <= characters // 64), "labelled")
+    order = Window.orderBy(F.xxhash64("__id"), "__id", "__n")  # of at most `rows` ids
+    if found.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).first().n > characters:
+        ends = found.select("__id", "__n").withColumn("__end", F.sum("__n").over(order)).filter(F.col("__end") <= characters)
+        found = found.join(F.broadcast(ends.select("__id").distinct()), "__id", "left_semi")
+    return found.select("label", "text")
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit(""))
 

@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ampereflow.llm import decontaminate, language, licenses, pii, quality, toxicity, url_filter
+from ampereflow.llm import common, decontaminate, language, licenses, pii, quality, toxicity, url_filter
 
 
 # --- op3
@@ -80,9 +81,67 @@ def test_toxicity_learns_and_holds_out(spark):
 
 def test_long_texts_have_the_same_features_as_their_pieces(monkeypatch):
     text = "ab cdé " * 50
-    whole = set().union(*[set(h.tolist()) for h in toxicity.features(text)])
+    whole = sorted(toxicity.features(text).tolist())
     monkeypatch.setattr(toxicity, "_PIECE", 16)
-    assert set().union(*[set(h.tolist()) for h in toxicity.features(text)]) == whole
+    assert sorted(toxicity.features(text).tolist()) == whole
+    known = np.zeros(1 << toxicity.BITS, bool)
+    known[[f for f in whole if f < len(known)][::2]] = True
+    assert sorted(toxicity.features(text, known).tolist()) == [f for f in whole if known[f % len(known)]]
+
+
+def test_toxicity_fit_matches_brute_force(spark):
+    """The kept features, their ratios and the fitted weights against plain sets and Newton's method."""
+    import math
+
+    rng = random.Random(7)
+    docs = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(12)) + (" vexing" if i % 3 == 0 else "") + (" alpha" if i % 2 else ""), i % 3 == 0) for i in range(150)]
+    docs += [(i, t, y) for i, t, y in docs[:9]]  # repeated rows count as often as they occur
+    documents = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in docs[:150]], "doc_id bigint, toxic int")
+    model = toxicity.fit(documents, labels, least_z=2.0)
+    held = [set(toxicity.features(t).tolist()) for _, t, _ in docs]
+    pos = sum(y for *_, y in docs)
+    neg = len(docs) - pos
+    ratios = {}
+    for f in set().union(*held):
+        a, b = sum(f in s for s, (*_, y) in zip(held, docs) if y), sum(f in s for s, (*_, y) in zip(held, docs) if not y)
+        share = (a + b) / len(docs)
+        if share < 1 and abs(a / pos - b / neg) >= 2.0 * math.sqrt(share * (1 - share) * (1 / pos + 1 / neg)):
+            ratios[f] = math.log((a + 0.5) / (pos + 1)) - math.log((b + 0.5) / (neg + 1))
+    assert model.ids.tolist() == sorted(ratios)
+    place = {f: i for i, f in enumerate(sorted(ratios))}
+    x = np.zeros((len(docs), len(ratios) + 1))
+    x[:, -1] = 1
+    for row, s in zip(x, held):
+        for f in s & set(place):
+            row[place[f]] = ratios[f]
+    y = np.array([float(v) for *_, v in docs])
+    weight = np.where(y > 0, neg / pos, 1.0)
+    penalty = np.append(np.full(len(ratios), toxicity.PENALTY), 0.0)
+    w = np.zeros(len(ratios) + 1)
+    loss = lambda w: float((weight * (np.logaddexp(0, x @ w) - y * (x @ w))).sum() + 0.5 * (penalty * w * w).sum())
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        hessian = x.T @ ((weight * p * (1 - p))[:, None] * x) + np.diag(penalty + 1e-9)
+        step = np.linalg.solve(hessian, x.T @ (weight * (p - y)) + penalty * w)
+        size = 1.0
+        while loss(w - size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+    r = np.array([ratios[f] for f in sorted(ratios)])
+    got = np.append(model.values / r, model.bias)
+    assert loss(got) - loss(w) <= 0.01 * len(docs)  # the descent stops early
+    for text in (docs[0][1], docs[1][1], "", "vexing"):
+        margin = model.bias + sum(dict(zip(model.ids.tolist(), model.values.tolist())).get(f, 0) for f in toxicity.features(text).tolist())
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-5)
+
+
+def test_samples_are_bounded_in_rows_and_characters(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 if i else 5000)) for i in range(100)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(5, 1), (None, 1), (7, None)], "doc_id bigint, toxic int")
+    take = lambda rows, chars: common.labelled_sample(docs, labels, "doc_id", "text", "toxic", rows, chars).collect()
+    assert len(take(1000, 1 << 20)) == 100 and len(take(30, 1 << 20)) == 30
+    assert len(take(1000, 640)) == 64 and all(len(r.text) == 10 for r in take(1000, 640))
 
 
 def test_quality_votes(spark):
@@ -106,6 +165,28 @@ def test_quality_votes(spark):
     assert nothing.score(["a b c"])[0] == 0.5
 
 
+def test_quality_tells_texts_by_their_words(spark):
+    """Both classes have the same letters and shapes; only the words differ, and ties and repeats do no harm."""
+    rng = random.Random(8)
+    good, bad = ["stone", "river", "cloud", "plant"], ["notes", "viver", "could", "plate"]
+    docs = [(i, " ".join(rng.choice(bad if i % 4 == 0 else good) for _ in range(30))) for i in range(200)]
+    documents = spark.createDataFrame(docs + docs[:5] + [(900, "stone river " * 200_000)], "doc_id bigint, text string")
+    model = quality.fit(documents, spark.createDataFrame([(i, int(i % 4 > 0)) for i, _ in docs if i % 3], "doc_id bigint, quality int"))
+    found = quality.score_documents(documents, model).collect()
+    assert len(found) == 206 and all((r.score >= 0.3) == (r.doc_id == 900 or r.doc_id % 4 > 0) for r in found)
+
+
+def test_latent_basis_spans_the_leading_singular_vectors():
+    rng = np.random.default_rng(4)
+    dense = (rng.random((600, 40)) * (rng.random((600, 40)) < 0.3) * np.linspace(9, 0.1, 40)).astype(np.float32)
+    row, column = np.nonzero(dense)
+    x = quality.Sparse(column, dense[row, column], np.cumsum([0, *(dense != 0).sum(1)]), 40)
+    assert np.allclose(x.times(np.eye(40, dtype=np.float32)), dense) and np.allclose(x.back(dense), dense.T @ dense, rtol=1e-4, atol=1e-3)
+    basis = quality.latent_basis(x, 5)
+    _, _, v = np.linalg.svd(dense)
+    assert np.linalg.norm(dense @ basis) >= 0.99 * np.linalg.norm(dense @ v[:5].T)
+
+
 def test_blocked_cosines_are_exact(monkeypatch):
     import numpy as np
 
@@ -114,6 +195,7 @@ def test_blocked_cosines_are_exact(monkeypatch):
     place = np.full(quality.TERMS, -1, np.int32)
     place[rng.choice(quality.TERMS, 50, replace=False)] = np.arange(50)
     place[(1 * 32 + 1) * 32 + 1] = 0
+    place[quality.term_counts("abc def")[0]] = np.arange(len(quality.term_counts("abc def")[0]))
     near = rng.standard_normal((40, 8)).astype(np.float32)
     near /= np.linalg.norm(near, axis=1, keepdims=True)
     model = quality.Model(place, basis, near, (np.arange(40) % 2).astype(float), 0.5)
