@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -19,8 +20,8 @@ from .common import materialize, text_or_empty
 
 CAPACITY = 1024
 END_ID = 2
-#: The ranks file of the vocabulary ``byte_bpe_50k.json``, which gives the same ids.
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The vocabulary; its ranks file gives the same ids, and the added tokens are read from the first.
+VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Pieces that one population packs on average, populations for the same pieces, and their settings.
 SHARD = 16384
 ISLANDS = 2
@@ -44,13 +45,17 @@ class Encoder:
     text cut before each space or line break that stands between non-spaces has the tokens of its parts
     in order. Most parts are words met before. Texts with other white space, or with several white
     spaces in a row, are encoded in one. Of the words met, those of the last two generations are known.
+    An added token (``added``, by its text) stands for itself wherever its text occurs, the longest first,
+    and what is between is encoded as texts of their own.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None):
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.added = {text: array("I", [number]).tobytes() for text, number in (added or {}).items()}
+        self.cuts = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.tokens = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         #: By the word that follows a space, or by a part that starts with a line break.
         self.known: dict[str, bytes] = {}
@@ -60,6 +65,16 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokens(text)).tobytes()
 
+    def with_added(self, text: str) -> bytes | None:
+        """The ids of a text that holds an added token; None for any other text."""
+        if self.cuts is None or not self.cuts.search(text):
+            return None
+        out, at = [], 0
+        for found in self.cuts.finditer(text):
+            out += [self.whole(text[at : found.start()]), self.added[found.group(0)]]
+            at = found.end()
+        return b"".join([*out, self.whole(text[at:])])
+
     def _learn(self, word: str) -> bytes:
         """The ids of a space and ``word``, in which single line breaks may stand between non-spaces.
 
@@ -80,7 +95,8 @@ class Encoder:
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD.search(t) or any(x in t for x in _RUNS) or t[:1] in " \n" or t[-1:] in " \n" else t.split(" ") for t in texts]
+        special = {i: ids for i, ids in enumerate(map(self.with_added, texts)) if ids is not None}
+        split = [None if i in special or _ODD.search(t) or any(x in t for x in _RUNS) or t[:1] in " \n" or t[-1:] in " \n" else t.split(" ") for i, t in enumerate(texts)]
         if len(self.known) > _CACHE:
             self.known, self.older, self.marks = {}, self.known, {}
         words = set().union(*[s[1:] for s in split if s])
@@ -90,10 +106,10 @@ class Encoder:
         for word in words - again:
             self._learn(word)
         look = self.known.__getitem__
-        return [self.whole(t) if s is None else self.whole(s[0]) + b"".join(map(look, s[1:])) for t, s in zip(texts, split)]
+        return [special[i] if i in special else self.whole(t) if s is None else self.whole(s[0]) + b"".join(map(look, s[1:])) for i, (t, s) in enumerate(zip(texts, split))]
 
 
-def pieces(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """``uid, doc_id, piece, start, length, ids_crc32`` for each piece of at most ``capacity`` ids.
 
     A document is the ids of its whole text and then ``END_ID``. Only longer documents are cut: the
@@ -101,7 +117,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, pattern)
+        encoder = Encoder(vocabulary, pattern, added)
         end = np.array([END_ID], "<u4").tobytes()
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -386,23 +402,26 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return offsets.unionByName(full)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, added: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every piece of every document with its sequence and its offset in it.
 
     Null and empty texts are one piece of the end id alone. Repeated rows and rows without id are
     packed like any other. Only the id and text columns are read. An empty table gives no rows.
     """
-    cut = materialize(pieces(docs, vocabulary, pattern, id_col, text_col), "pieces")
+    cut = materialize(pieces(docs, vocabulary, pattern, added, id_col, text_col), "pieces")
     placed = pack(cut.select("uid", "length"))
     return cut.join(placed, "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def registered_vocabulary() -> tuple[str, str]:
-    """Path of the ranks file and the pattern of its pre-tokenizer."""
+def registered_vocabulary() -> tuple[str, str, dict[str, int]]:
+    """Path of the ranks file, the pattern of its pre-tokenizer, and the vocabulary's added tokens."""
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+    with open(public_tokenizers.path(VOCABULARY), encoding="utf-8") as file:
+        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    return public_tokenizers.path(RANKS), public_tokenizers.PATTERN, added
 
 
 def op5_pack(spark, sf_dir):
+    """Every piece of every document, packed with the production settings."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), *registered_vocabulary())

@@ -12,12 +12,10 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-ODD = ["", " ", "  a  b", " a\nb", "a\n b", "x\n\ny z", "a b ", "a\tb c", "a\x1cb cd", "\n", "a \nb", "l'été d'un 's it's\nx", "  \n \n  a", "日本 語\u3000x", "a b\nc\nd e.", "w!!! v%%% don't. a's.", "<|endoftext|> x", "a\u00a0b c", "x" * 3000]
+ODD = ["", " ", "  a  b", " a\nb", "a\n b", "x\n\ny z", "a b ", "a\tb c", "a\x1cb cd", "\n", "a \nb", "l'été d'un 's it's\nx", "  \n \n  a", "日本 語\u3000x", "a b\nc\nd e.", "w!!! v%%% don't. a's.", "<|endoftext|> x", "<|endoftext|>", "a b <|endoftext|>", "wor<|endoftext|>d and <|endoftext|><|endoftext|> so  on\n<|endoftext|>\n", "<|endoftext|", "a <|ENDOFTEXT|> b", "a\u00a0b c", "x" * 3000]
 
 
 def test_cached_words_have_the_tokenizers_ids(spark, tokenizer, monkeypatch):
@@ -87,6 +85,27 @@ def test_crossover_keeps_every_item_once_and_within_capacity():
         mother, father = father, child
 
 
+def test_small_sets_are_packed_into_the_least_number():
+    """Against all ways to share out eight items."""
+    from functools import cache
+
+    rng = np.random.default_rng(11)
+    for _ in range(25):
+        sizes = np.sort(rng.integers(1, 20, 8))
+
+        @cache
+        def least(left: frozenset) -> int:
+            if not left:
+                return 0
+            first, *others = sorted(left)
+            ways = [[first]]
+            for item in others:
+                ways += [w + [item] for w in ways if sum(int(sizes[i]) for i in [*w, item]) <= 20]
+            return 1 + min(least(left - frozenset(w)) for w in ways)
+
+        assert pack.evolve(sizes, [], 20, 1)[0].max() + 1 == least(frozenset(range(8)))
+
+
 def test_evolution_never_loses_the_best(monkeypatch):
     rng = np.random.default_rng(3)
     sizes = np.sort(rng.integers(100, 700, 400))
