@@ -1,4 +1,8 @@
-"""License scan: sparse TF-IDF cosine of lines to license templates, then inheritance by directory."""
+"""License scan: sparse TF-IDF cosine of headers and license files to templates, then inheritance by directory.
+
+Three kinds of units of a file are compared: its lines, its blocks of lines (notices run over several),
+and the whole file. All are weighed alike, by word frequencies over all lines of all files.
+"""
 
 from __future__ import annotations
 
@@ -8,22 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_within, materialize, text_or_empty
+from .license_texts import TEMPLATES
 
-#: Name and usual header sentence of each license.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
 THRESHOLD = 0.8
-#: A file is its directory's license file if its best line holds at least this share of its words.
+#: Between blocks stand lines without letters and digits.
+BETWEEN = r"\n[^\p{L}\p{N}\n]*\n"
+#: A file is its directory's license file if its best unit holds at least this share of its words.
 FILE_SHARE = 0.2
 BROADCAST_ROWS = 200_000
+#: Characters from which the registered query lays a document below its language.
+SHORT = 400
 
 
 def tokens(text: Column) -> Column:
@@ -42,29 +40,29 @@ def document_frequencies(lines: DataFrame, vocabulary: list[str]) -> tuple[dict[
     return {w: counts.get(w, 0) for w in vocabulary}, counts.get("", 0)
 
 
-def template_weights(templates: list[tuple[str, str]], counts: dict[str, int], lines: int) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
+def template_weights(templates: list[tuple[str, str]], counts: dict[str, int], lines: int) -> tuple[dict[str, float], list[dict[str, float]]]:
     """Inverse document frequencies of the words, and each template's vector divided by its length."""
     idf = {w: math.log((1 + lines) / (1 + n)) + 1 for w, n in counts.items()}
-    vectors = {}
-    for name, words in template_words(templates).items():
+    vectors = []
+    for words in template_words(templates):
         weights = {w: words.count(w) * idf[w] for w in words}
         length = math.sqrt(sum(x * x for x in weights.values()))
-        vectors[name] = {w: x / length for w, x in weights.items()}
+        vectors.append({w: x / length for w, x in weights.items()})
     return idf, vectors
 
 
-def template_words(templates: list[tuple[str, str]]) -> dict[str, list[str]]:
-    return {name: "".join(c if c.isalnum() else " " for c in text.lower()).split() for name, text in templates}
+def template_words(templates: list[tuple[str, str]]) -> list[list[str]]:
+    return ["".join(c if c.isalnum() else " " for c in text.lower()).split() for _, text in templates]
 
 
-def deciding_words(vectors: dict[str, dict[str, float]], threshold: float) -> list[str]:
-    """Words of which a line needs at least one to reach the threshold with any template.
+def deciding_words(vectors: list[dict[str, float]], threshold: float) -> list[str]:
+    """Words of which a unit needs at least one to reach the threshold with any template.
 
-    By Cauchy and Schwarz, a line that shares only words outside this set has a cosine of at most the
+    By Cauchy and Schwarz, a unit that shares only words outside this set has a cosine of at most the
     length of the template's vector on those words; the heaviest words are taken until that is too short.
     """
     chosen = set()
-    for weights in vectors.values():
+    for weights in vectors:
         rest = 1.0
         for word, x in sorted(weights.items(), key=lambda p: (-p[1], p[0])):
             if math.sqrt(max(rest, 0.0)) < threshold - 1e-9:
@@ -74,32 +72,40 @@ def deciding_words(vectors: dict[str, dict[str, float]], threshold: float) -> li
     return sorted(chosen)
 
 
-def match_lines(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``(id, license, cosine, words)``: each file's best line that reaches ``threshold`` with a template.
+def _units(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``__id, __unit, __s``: the lines, the blocks and the whole of each file with an id."""
+    text = text_or_empty(text_col)
+    units = F.concat(F.split(text, "\n"), F.split(text, BETWEEN), F.array(text))
+    return files.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("__id"), F.posexplode(units).alias("__unit", "__s"))
+
+
+def match_units(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``(id, license, cosine, words)``: each file's best unit that reaches ``threshold`` with a template.
 
-    A line's vector is its word counts times inverse document frequencies taken over all lines of all
-    files; a word of no template weighs as one that no line has. Only lines with a deciding word are
-    weighed, and no line that reaches the threshold is left out. Ties: the greater name. ``words`` is
-    the number of words of the line.
+    A unit's vector is its word counts times inverse document frequencies taken over all lines of all
+    files; a word of no template weighs as one that no line has. Only units with a deciding word are
+    weighed, and no unit that reaches the threshold is left out. Ties: the greater name, then the longer
+    unit. ``words`` is the number of words of the unit. Texts of any length are compared whole.
     """
     spark = files.sparkSession
     lines = _lines(files, id_col, text_col)
-    vocabulary = sorted({w for words in template_words(templates).values() for w in words})
+    vocabulary = sorted({w for words in template_words(templates) for w in words})
     counts, total = document_frequencies(lines, vocabulary)
     idf, vectors = template_weights(templates, counts, total)
     deciding = F.array(*map(F.lit, deciding_words(vectors, threshold)))
-    likely = lines.filter(F.col("__id").isNotNull()).withColumn("__w", tokens(F.col("__s"))).filter(F.arrays_overlap("__w", deciding))
-    terms = likely.select("__id", "__line", F.explode("__w").alias("__t")).groupBy("__id", "__line", "__t").agg(F.count(F.lit(1)).alias("tf"))
+    likely = _units(files, id_col, text_col).withColumn("__w", tokens(F.col("__s"))).filter(F.arrays_overlap("__w", deciding))
+    terms = likely.select("__id", "__unit", F.explode("__w").alias("__t")).groupBy("__id", "__unit", "__t").agg(F.count(F.lit(1)).alias("tf"))
     weights = spark.createDataFrame([(w, x) for w, x in idf.items()], "t string, idf double")
-    parts = spark.createDataFrame([(w, [(n, v[w]) for n, v in vectors.items() if w in v]) for w in vocabulary], "v string, parts array<struct<name:string,x:double>>")
+    parts = spark.createDataFrame([(w, [(i, v[w]) for i, v in enumerate(vectors) if w in v]) for w in vocabulary], "v string, parts array<struct<i:int,x:double>>")
+    names = F.array(*[F.lit(name) for name, _ in templates])
     unseen = F.lit(math.log(1 + total) + 1)
-    known = terms.join(F.broadcast(weights), F.col("__t") == F.col("t"), "left").join(F.broadcast(parts), F.col("__t") == F.col("v"), "left")
+    known = terms.join(F.broadcast(weights), F.col("__t") == F.col("t"), "left").join(F.broadcast(parts), F.col("__t") == F.col("v"), "left")  # a few words of the templates
     weight = F.col("tf") * F.coalesce("idf", unseen)
-    weighed = known.select("__id", "__line", "tf", weight.alias("w"), "parts")
-    norms = weighed.groupBy("__id", "__line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("words"))
-    dots = weighed.select("__id", "__line", "w", F.explode("parts").alias("p")).groupBy("__id", "__line", F.col("p.name").alias("license")).agg(F.sum(F.col("w") * F.col("p.x")).alias("dot"))
-    cosines = dots.join(norms, ["__id", "__line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("cosine") >= threshold)
-    best = cosines.groupBy("__id").agg(F.max(F.struct("cosine", "license", "words")).alias("b"))
+    weighed = materialize(known.select("__id", "__unit", "tf", weight.alias("w"), "parts"), "weighed")
+    norms = weighed.groupBy("__id", "__unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("words"))
+    dots = weighed.select("__id", "__unit", "w", F.explode("parts").alias("p")).groupBy("__id", "__unit", F.col("p.i").alias("i")).agg(F.sum(F.col("w") * F.col("p.x")).alias("dot"))
+    cosines = dots.join(norms, ["__id", "__unit"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("cosine") >= threshold)
+    best = cosines.groupBy("__id").agg(F.max(F.struct("cosine", F.get(names, F.col("i")).alias("license"), "words")).alias("b"))
     return best.select(F.col("__id").alias(id_col), F.col("b.license").alias("license"), F.col("b.cosine").alias("cosine"), F.col("b.words").alias("words"))
 
 
@@ -125,14 +131,14 @@ def inherit(files: DataFrame, sources: DataFrame) -> DataFrame:
 def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
     """License of each file: the id, ``license, how, cosine, from_id``.
 
-    ``how`` is ``header`` for a file whose own best line reaches the threshold, ``inherited`` for one
+    ``how`` is ``header`` for a file whose own best unit reaches the threshold, ``inherited`` for one
     that takes it from the nearest directory above with a license file, else null like the license. A
-    license file is one named LICENSE, COPYING, NOTICE or UNLICENSE, or whose best line holds at least
+    license file is one named LICENSE, COPYING, NOTICE or UNLICENSE, or whose best unit (line, block or whole) holds at least
     ``file_share`` of its words; of several in a directory the greatest cosine, then the smallest id
     counts. Null texts are empty; a null path is the root directory. Files that share an id pool their
-    lines. Rows without id get a row without license of their own, and may inherit. An empty table gives no rows.
+    units. Rows without id get a row without license of their own, and may inherit. An empty table gives no rows.
     """
-    found = materialize(match_lines(files, templates, id_col, text_col, threshold), "licenses")
+    found = materialize(match_units(files, templates, id_col, text_col, threshold), "licenses")
     path = F.coalesce(F.col(f"`{path_col}`"), F.lit(""))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
     folder = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/")
@@ -151,36 +157,43 @@ def scan_licenses(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
 
 
 def with_paths(docs: DataFrame) -> DataFrame:
-    """Documents as files: the source is a directory, the language one below it."""
-    return docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    """Documents as files: short ones lie in the directory of their source, others in one of ten below its language."""
+    below = F.when(F.length(F.coalesce("text", F.lit(""))) >= SHORT, F.concat_ws("/", "lang", (F.abs("doc_id") % 10).cast("string")))
+    return docs.select("doc_id", "text", F.concat_ws("/", "source", below, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document, its own or that of the nearest directory above it."""
     return scan_licenses(with_paths(spark.read.parquet(f"{sf_dir}/documents.parquet"))).withColumn("cosine", F.round("cosine", 4))
 
 
 def licenses_sql(templates: list[tuple[str, str]]) -> str:
+    """SQL of the same result that weighs every unit with a word of a template."""
     words = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: w <> '')"
-    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in templates)
+    values = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(templates))
     return f"""
-    WITH t AS (SELECT name, unnest({words.format('s')}) AS w FROM (VALUES {values}) v(name, s)),
-    d AS (SELECT doc_id, coalesce(source || '/', '') || coalesce(lang, '') AS dir, coalesce(text, '') AS text FROM documents),
+    WITH t AS (SELECT i, name, unnest({words.format('s')}) AS w FROM (VALUES {values}) v(i, name, s)),
+    d AS (SELECT doc_id, concat_ws('/', source, CASE WHEN length(coalesce(text, '')) >= {SHORT} THEN concat_ws('/', lang, CAST(abs(doc_id) % 10 AS VARCHAR)) END) AS dir, coalesce(text, '') AS text FROM documents),
     l AS (SELECT doc_id, unnest(range(len(p))) AS line, unnest(p) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM d)),
-    lw AS (SELECT doc_id, line, unnest({words.format('s')}) AS w FROM l),
+    u AS (SELECT doc_id, unnest(range(len(p))) AS unit, unnest(p) AS s FROM (SELECT doc_id, string_split(text, chr(10)) || string_split_regex(text, '{BETWEEN}') || [text] AS p FROM d)),
+    lw AS (SELECT DISTINCT doc_id, line, w FROM (SELECT doc_id, line, unnest({words.format('s')}) AS w FROM l) WHERE w IN (SELECT w FROM t)),
     n AS (SELECT count(*) AS n FROM l),
-    df AS (SELECT w, count(*) AS c FROM (SELECT DISTINCT doc_id, line, w FROM lw) WHERE w IN (SELECT w FROM t) GROUP BY w),
+    df AS (SELECT w, count(*) AS c FROM lw GROUP BY w),
     idf AS (SELECT w, ln((1 + n) / (1 + coalesce(c, 0))) + 1 AS idf FROM (SELECT DISTINCT w FROM t) LEFT JOIN df USING (w), n),
-    tv AS (SELECT name, w, x / sqrt(sum(x * x) OVER (PARTITION BY name)) AS x FROM (SELECT name, w, count(*) * any_value(idf) AS x FROM t JOIN idf USING (w) GROUP BY name, w)),
-    lt AS (SELECT doc_id, line, w, count(*) AS tf FROM lw WHERE (doc_id, line) IN (SELECT (doc_id, line) FROM lw WHERE w IN (SELECT w FROM t)) GROUP BY ALL),
-    wt AS (SELECT doc_id, line, w, tf, tf * coalesce(idf, ln(1 + n) + 1) AS x FROM lt LEFT JOIN idf USING (w), n),
-    nm AS (SELECT doc_id, line, sqrt(sum(x * x)) AS norm, sum(tf) AS words FROM wt GROUP BY ALL),
-    cs AS (SELECT doc_id, name, round(sum(wt.x * tv.x) / any_value(norm), 6) AS cosine, any_value(words) AS words FROM wt JOIN tv USING (w) JOIN nm USING (doc_id, line) GROUP BY doc_id, line, name),
+    tv AS (SELECT i, name, w, x / sqrt(sum(x * x) OVER (PARTITION BY i)) AS x FROM (SELECT i, name, w, count(*) * any_value(idf) AS x FROM t JOIN idf USING (w) GROUP BY i, name, w)),
+    uw AS (SELECT doc_id, unit, unnest({words.format('s')}) AS w FROM u),
+    lt AS (SELECT doc_id, unit, w, count(*) AS tf FROM uw WHERE (doc_id, unit) IN (SELECT (doc_id, unit) FROM uw WHERE w IN (SELECT w FROM t)) GROUP BY ALL),
+    wt AS (SELECT doc_id, unit, w, tf, tf * coalesce(idf, ln(1 + n) + 1) AS x FROM lt LEFT JOIN idf USING (w), n),
+    nm AS (SELECT doc_id, unit, sqrt(sum(x * x)) AS norm, sum(tf) AS words FROM wt GROUP BY ALL),
+    cs AS (SELECT doc_id, name, round(sum(wt.x * tv.x) / any_value(norm), 6) AS cosine, any_value(words) AS words FROM wt JOIN tv USING (w) JOIN nm USING (doc_id, unit) GROUP BY doc_id, unit, i, name),
     best AS (SELECT doc_id, name AS license, cosine, words FROM cs WHERE cosine >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, name DESC, words DESC) = 1),
     files AS (SELECT doc_id, dir, license, cosine FROM best JOIN d USING (doc_id) WHERE words >= {FILE_SHARE} * len({words.format('text')})),
-    src AS (SELECT * FROM files QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, doc_id) = 1)
-    SELECT d.doc_id, coalesce(best.license, src.license) AS license, CASE WHEN best.license IS NOT NULL THEN 'header' WHEN src.license IS NOT NULL THEN 'inherited' END AS how,
-        round(best.cosine, 4) AS cosine, CASE WHEN best.license IS NOT NULL THEN d.doc_id ELSE src.doc_id END AS from_id
-    FROM d LEFT JOIN best USING (doc_id) LEFT JOIN src ON d.dir = src.dir"""
+    src AS (SELECT * FROM files QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, doc_id) = 1),
+    up AS (SELECT DISTINCT dir, unnest(list_transform(range(0, len(string_split(dir, '/')) + 1), lambda i: array_to_string(string_split(dir, '/')[1:i], '/'))) AS above FROM d),
+    near AS (SELECT up.dir, src.license, src.doc_id AS from_id FROM up JOIN src ON src.dir = up.above QUALIFY row_number() OVER (PARTITION BY up.dir ORDER BY length(above) DESC) = 1)
+    SELECT d.doc_id, coalesce(best.license, near.license) AS license, CASE WHEN best.license IS NOT NULL THEN 'header' WHEN near.license IS NOT NULL THEN 'inherited' END AS how,
+        round(best.cosine, 4) AS cosine, CASE WHEN best.license IS NOT NULL THEN d.doc_id ELSE near.from_id END AS from_id
+    FROM d LEFT JOIN best USING (doc_id) LEFT JOIN near ON d.dir = near.dir"""
 
 
 OP10_SQL = licenses_sql(TEMPLATES)

@@ -1,11 +1,12 @@
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ampereflow.llm import common, decontaminate, language, licenses, pii, quality, toxicity, url_filter
+from ampereflow.llm import common, decontaminate, language, license_texts, licenses, pii, quality, toxicity, url_filter
 
 
 # --- op3
@@ -341,10 +342,39 @@ def test_licenses_and_inheritance(spark):
     assert licenses.scan_licenses(files.limit(0)).count() == 0
 
 
+def test_real_license_files_and_headers(spark):
+    """Whole texts, titles, notices in comments and tags are found among prose, and unlike ones are not."""
+    whole = dict(license_texts.WHOLE)
+    prose = "the river runs past the old mill and turns south before it meets the road again\n" * 5
+    comment = lambda text: "\n".join("# " + line for line in textwrap.wrap(text, 60))
+    mit = "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + whole["MIT"]
+    apache = " " * 30 + "Apache License\n" + " " * 25 + "Version 2.0, January 2004\n" + " " * 20 + "http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n" + prose
+    rows = [
+        (1, "a/LICENSE", mit, "MIT"), (2, "z/LICENSE", apache, "Apache-2.0"), (3, "b/COPYING", "Copyright (c) 2020, Jane Doe\nAll rights reserved.\n\n" + whole["BSD-3-Clause"], "BSD-3-Clause"),
+        (4, "c/LICENSE.txt", "Copyright 2021 J. D.\n\n" + dict(license_texts.WHOLE[:3])["BSD-2-Clause"], "BSD-2-Clause"), (5, "d/x.py", "The MIT License (MIT)\n" + prose, "MIT"),
+        (6, "d/y.py", "# SPDX-License-Identifier: MIT\n" + prose, "MIT"), (7, "d/z.py", "// SPDX-License-Identifier: GPL-3.0-or-later\n" + prose, "GPL-3.0"), (8, "d/w.py", "#!/usr/bin/env python\n#\n" + comment(license_texts._APACHE_NOTICE) + "\n#\n\nimport os\n" + prose, "Apache-2.0"),
+        (9, "e/x.py", prose, None), (10, "e/y.py", "the license of the driver and the version of the software are mentioned here only\n" + prose, None), (11, "a/b/c/d.py", prose, "MIT"), (12, "z/y/x.py", None, "Apache-2.0"),
+        (13, "e/z.py", "word " * 300_000 + "\nSPDX-License-Identifier: ISC", "ISC"),
+    ]
+    files = spark.createDataFrame([(i, p, t) for i, p, t, _ in rows] + [(1000 + i, f"e/{i}.txt", prose + f"number {i} of the work") for i in range(300)] + [(9, "e/x.py", prose)], "doc_id bigint, path string, text string")
+    found = licenses.scan_licenses(files).collect()
+    assert len(found) == len(rows) + 301
+    got = {r.doc_id: r for r in found}
+    assert {i: got[i].license for i, *_ in rows} == {i: name for i, _, _, name in rows}
+    assert (got[11].how, got[11].from_id) == ("inherited", 1) and all(got[1000 + i].license is None for i in range(300))
+
+
+def test_ties_go_to_the_greater_name_and_the_smallest_file(spark):
+    line = "Released under the MIT License."
+    files = spark.createDataFrame([(3, "a/x", line), (2, "a/y", line), (5, "a/z", "nothing here")], "doc_id bigint, path string, text string")
+    found = {r.doc_id: r for r in licenses.scan_licenses(files, [("A", line), ("B", line)]).collect()}
+    assert found[3].license == found[2].license == "B" and found[5].from_id == 2
+
+
 def test_deciding_words_miss_no_line():
-    counts = {w: 3 for words in licenses.template_words(licenses.TEMPLATES).values() for w in words}
+    counts = {w: 3 for words in licenses.template_words(licenses.TEMPLATES) for w in words}
     counts |= {"the": 900, "of": 900, "under": 200, "license": 10}
     _, vectors = licenses.template_weights(licenses.TEMPLATES, counts, 1000)
     deciding = set(licenses.deciding_words(vectors, 0.8))
-    for weights in vectors.values():
+    for weights in vectors:
         assert sum(x * x for w, x in weights.items() if w not in deciding) ** 0.5 < 0.8
