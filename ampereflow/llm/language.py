@@ -29,14 +29,39 @@ EFFECTIVE = 60
 PRIOR_WEIGHT, ADDED = 5.0, 0.5
 #: Most hosts, domains, suffixes or declared languages whose counts are broadcast; beyond, a shuffle joins them.
 BROADCAST_ROWS = 50_000
-_DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+_OPEN = re.compile(r"<(?:(script|style)\b|!--)?", re.I)
+_CLOSE = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "!": re.compile("-->"), "": re.compile(">")}
 _CLEAN = bytes(32 if i < 128 and not chr(i).isalpha() else i for i in range(256))
 _PIECE = 1 << 20
 
 
 def visible_text(page: str) -> str:
-    """A page without scripts, styles, comments and tags, its entities resolved."""
-    return html.unescape(_DROP.sub(" ", page))
+    """A page without scripts, styles, comments and tags, its entities resolved.
+
+    An opening is closed by the next closing of its kind; a script, style or comment that is never closed
+    is a tag like others, and a ``<`` without any ``>`` behind it is text. One pass over the page: a kind
+    that is not closed behind one place is not closed behind any later one and is not looked for again.
+    """
+    out, at = [], 0
+    open_kinds: set[str] = set()
+    found = _OPEN.search(page)
+    while found:
+        kind = (found.group(1) or ("!" if found.group(0) == "<!--" else "")).lower()
+        end = None
+        for name in (kind, "") if kind else ("",):
+            if name not in open_kinds:
+                # a script or style closes behind its opening, a comment behind its dashes, a tag anywhere behind its start
+                end = _CLOSE[name].search(page, found.end() if name else found.start() + 1)
+                if end:
+                    break
+                open_kinds.add(name)
+        if end:
+            out += [page[at : found.start()], " "]
+            at = end.end()
+        elif "" in open_kinds:
+            break
+        found = _OPEN.search(page, max(at, found.start() + 1))
+    return html.unescape("".join([*out, page[at:]]))
 
 
 def grams(text: str) -> np.ndarray:
@@ -96,7 +121,8 @@ def evidence(pages: DataFrame, langs: list[str], model: np.ndarray, id_col: str
 
     page = text_or_empty(html_col)
     host = F.lower(F.regexp_extract(text_or_empty(url_col), r"^[^:/?#]*://([^/?#:]*)", 1))
-    declared = F.lower(F.regexp_extract(page, r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z]+)""", 1))
+    attributes = F.regexp_extract(page, r"(?i)<html\b([^>]*)", 1)  # of the first html element
+    declared = F.lower(F.regexp_extract(attributes, r"""(?i)\slang\s*=\s*["']?([A-Za-z]+)""", 1))
     kind = dict(pages.dtypes)[id_col]
     marked = pages.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), page.alias("page"), declared.alias("declared"))
     marked = marked.mapInArrow(weigh, f"id {kind}, host string, declared string, text_ll array<double>")
@@ -160,5 +186,6 @@ def identify(pages: DataFrame, langs: list[str], model: np.ndarray, id_col: str
 
 
 def op2_language(spark, sf_dir):
+    """Language of every page, by n-grams learned from the documents' declared languages."""
     langs, model = fit_text_model(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), langs, model)

@@ -252,6 +252,63 @@ def test_host_shares_are_smoothed_down_the_levels(spark):
     assert found[9].probability == pytest.approx(mine / (mine + other), rel=1e-3)
 
 
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    for page in ("<script>" * 130_000, "<!--" * 260_000, "<style a" * 130_000, "<" * 1_000_000, "<html lang" * 100_000):
+        began = time.time()
+        language.visible_text(page)
+        assert time.time() - began < 5
+    assert language.visible_text("a<!-- b <i>c</i> d") == "a c  d" and language.visible_text("1 < 2 &amp; <b>x</b>") == "1  x " and language.visible_text("<script>x</script>y<style>z</STYLE >w") == " y w"
+
+
+def test_fusion_matches_brute_force_on_whole_pages(spark):
+    import math
+    from collections import Counter, defaultdict
+
+    rng = random.Random(9)
+    vocabulary = {"de": "der haus fluss und nicht wald".split(), "en": "the house river and not wood".split()}
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(vocabulary[lang]) for _ in range(40)), lang) for i in range(40) for lang in ("de", "en")], "doc_id bigint, text string, lang string")
+    langs, model = language.fit_text_model(docs)
+    pages = []
+    for i in range(90):
+        lang = rng.choice(langs)
+        host = rng.choice(["a.x.de", "b.x.de", "c.org", "d.y.org", ""])
+        text = " ".join(rng.choice(vocabulary[lang if rng.random() < 0.7 else rng.choice(langs)]) for _ in range(rng.choice([0, 1, 2, 30])))
+        mark = rng.choice(["", f" lang='{lang}'", ' class="k" lang=fr-CA'])
+        pages.append((i, f"http://{host}/{i}" if host else None, f"<html{mark}><p>{text}</p>"))
+    pages += [pages[3], pages[4]]
+    likelihood = {}
+    for i, _, page in pages:
+        counts = language.grams(language.visible_text(page))
+        likelihood[i] = [float(model[k] @ counts) * language.EFFECTIVE / max(counts.sum(), language.EFFECTIVE) for k in range(2)]
+    best = {i: max(range(2), key=lambda k: (likelihood[i][k], -k)) for i in likelihood}
+    place = lambda url: re.match("http://([^/]*)", url).group(1) if url else ""
+    mark_of = lambda page: (re.search(r"<html[^>]*\slang=['\"]?([a-z]+)", page) or [None, ""])[1]
+    keys = {"host": lambda p: place(p[1]), "domain": lambda p: ".".join(place(p[1]).split(".")[-2:]), "suffix": lambda p: place(p[1]).split(".")[-1], "declared": lambda p: mark_of(p[2])}
+    tallies = {name: defaultdict(Counter) for name in keys}
+    for p in pages:
+        for name, key in keys.items():
+            tallies[name][key(p)][best[p[0]]] += 1
+    everything = Counter(best[p[0]] for p in pages)
+    found = defaultdict(list)
+    for r in language.identify(spark.createDataFrame(pages, "page_id bigint, url string, html string"), langs, model).collect():
+        found[r.page_id].append(r)
+    for p in pages:
+        less = lambda c: [c[k] - (k == best[p[0]]) for k in range(2)]
+        glob = [(n + language.ADDED) / (len(pages) + 2 * language.ADDED) for n in less(everything)]
+        smooth = lambda name, above: [(n + language.PRIOR_WEIGHT * a) / (sum(less(tallies[name][keys[name](p)])) + language.PRIOR_WEIGHT) for n, a in zip(less(tallies[name][keys[name](p)]), above)]
+        prior = smooth("host", smooth("domain", glob))
+        post = []
+        for k in range(2):
+            x = math.log(prior[k]) + likelihood[p[0]][k] + math.log(smooth("suffix", glob)[k] / glob[k])
+            post.append(x + (math.log(smooth("declared", glob)[k] / glob[k]) if mark_of(p[2]) else 0.0))
+        share = 1 / (1 + math.exp(min(post) - max(post)))
+        for r in found[p[0]]:
+            assert r.probability == pytest.approx(share, rel=1e-3) and (abs(post[0] - post[1]) < 1e-3 or r.lang == langs[post.index(max(post))])
+    assert len(found[3]) == 2
+
+
 # --- op6
 
 def judge(url, rules, default="allow"):
@@ -273,10 +330,22 @@ def test_urls_match_brute_force(spark):
     rules = [url_filter.host_rule(*r) for r in url_filter.HOST_RULES] + [url_filter.pattern_rule(*r) for r in url_filter.PATTERN_RULES] + [{"rule": "any-number", "pattern": r"/\d+$", "verdict": "block", "priority": 1, "tokens": []}]
     rows = list(enumerate(URLS)) + [(7, URLS[7]), (None, URLS[8])]
     pages = spark.createDataFrame([(i, u, "r", "v") for i, u in rows], "page_id bigint, url string, rule string, verdict string")
-    found = url_filter.filter_urls(pages, url_filter.rules_frame(spark, rules)).collect()
-    assert sorted(map(tuple, found), key=str) == sorted(((i, *judge(u, rules)) for i, u in rows), key=str)
-    assert url_filter.filter_urls(pages.limit(0), url_filter.rules_frame(spark, rules)).count() == 0
-    assert {r.verdict for r in url_filter.filter_urls(pages, url_filter.rules_frame(spark, rules).limit(0)).collect()} == {"allow"}
+    for in_row in (100, 0):
+        judged = url_filter.filter_urls(pages, url_filter.rules_frame(spark, rules), in_row=in_row)
+        assert sorted(map(tuple, judged.collect()), key=str) == sorted(((i, *judge(u, rules)) for i, u in rows), key=str)
+        assert url_filter.filter_urls(pages.limit(0), url_filter.rules_frame(spark, rules), in_row=in_row).count() == 0
+        assert {r.verdict for r in url_filter.filter_urls(pages, url_filter.rules_frame(spark, rules).limit(0), in_row=in_row).collect()} == {"allow"}
+        tied = [dict(rules[0], rule=n, pattern="^a", verdict=v, priority=3, tokens=[]) for n, v in (("x", "allow"), ("y", "block"))]
+        assert [r.rule for r in url_filter.filter_urls(pages.filter("page_id = 5"), url_filter.rules_frame(spark, tied), in_row=in_row).collect()] == ["y"]
+    plan = url_filter.filter_urls(pages, url_filter.rules_frame(spark, rules))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # addresses stay where they are
+
+
+def test_very_long_addresses(spark):
+    url = "http://x.com/fr/" + "a/b." * 50_000 + "?q"
+    pages = spark.createDataFrame([(1, url)], "page_id bigint, url string")
+    found = url_filter.filter_urls(pages, url_filter.rules_frame(spark, [url_filter.host_rule(*r) for r in url_filter.HOST_RULES])).first()
+    assert found.rule == "com/fr/" and len(found.path) == len(url) - 14
 
 
 # --- op8
