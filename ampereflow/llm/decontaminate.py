@@ -64,8 +64,10 @@ def find_contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """``(id, item, matched, item_shingles, containment)`` for each document and item it contains.
 
     Null texts are empty and contain nothing. Rows that share an id are one document. Rows without id
-    are not searched. Repeated items are found one by one. Empty tables give no rows. Only the id and
-    text columns are read, so other columns cannot clash.
+    are not searched. Repeated items are found one by one. An item of fewer than five words is one
+    shingle of all its words and is found only in a document of just these words, as a longer document
+    has no such shingle. Texts of any length are searched whole. Empty tables give no rows. Only the id
+    and text columns are read, so other columns cannot clash.
     """
     items = materialize(_items(benchmark, item_col, item_text_col), "items")
     index = materialize(sketches(items, threshold), "sketches")
@@ -79,21 +81,26 @@ def find_contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     candidates = materialize(met.select(F.col("__doc").alias("doc"), "item").distinct(), "candidates")
 
     wanted = materialize(candidates.select("doc").distinct(), "wanted")
-    held = rows.join(broadcast_within(wanted, BROADCAST_ROWS), F.col("__doc") == F.col("doc"), "left_semi").select("__doc", F.explode(shingle_texts()).alias("__s")).distinct()
+    held = rows.join(broadcast_within(wanted, BROADCAST_ROWS), F.col("__doc") == F.col("doc"), "left_semi").select("__doc", F.explode(shingle_texts()).alias("__s"))
     asked = materialize(items.select("item", "q", F.explode(shingle_texts()).alias("s")), "item-shingles")
-    counted = held.join(broadcast_within(asked, BROADCAST_ROWS), F.col("__s") == F.col("s")).groupBy("__doc", "item", "q").agg(F.count(F.lit(1)).alias("matched"))
+    common = held.join(broadcast_within(asked, BROADCAST_ROWS), F.col("__s") == F.col("s")).select("__doc", "item", "q", "s").distinct()  # a document may be several rows
+    counted = common.groupBy("__doc", "item", "q").agg(F.count(F.lit(1)).alias("matched"))
     checked = counted.filter(F.col("matched") >= F.ceil(F.col("q") * threshold - 1e-9))
     out = checked.join(candidates.toDF("__d", "__i"), (F.col("__doc") == F.col("__d")) & (F.col("item") == F.col("__i")), "left_semi")
     return out.select(F.col("__doc").alias(id_col), F.col("item").alias(item_col), "matched", F.col("q").cast("bigint").alias("item_shingles"), (F.col("matched") / F.col("q")).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that contain a benchmark item; all columns stay, rows without id too."""
+    """``docs`` without the documents that contain a benchmark item; all columns stay, rows without id too.
+
+    Null and empty texts contain nothing; rows that repeat an id share its fate; columns may have any name.
+    """
     losers = materialize(find_contained(docs, benchmark, id_col, text_col).select(id_col).distinct(), "leaks")
     return without_ids(docs, losers, id_col, BROADCAST_ROWS)
 
 
 def op3_decontaminate(spark, sf_dir):
+    """Every document and benchmark item that it contains."""
     return find_contained(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
