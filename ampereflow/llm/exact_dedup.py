@@ -18,17 +18,21 @@ def _prefix(text: Column) -> Column:
     return F.xxhash64(F.substring(text, 1, PREFIX_CHARS))
 
 
-def _only(rows: DataFrame, groups: DataFrame, on: list[str], text_cols: dict[str, Column], broadcast_rows: int) -> DataFrame:
-    """Rows whose key is in ``groups``, with the columns of ``text_cols`` in place of the text.
+def _survivors(rows: DataFrame) -> DataFrame:
+    """``__n, __p``: lengths and prefix hashes that two rows or more have, as a written table.
 
-    A small ``groups`` is broadcast and the hash is then computed for surviving rows alone; for a
-    large one the hash is computed first, so that keys and never texts are shuffled.
+    The text is read once, into a narrow table of two numbers a row; lengths that one row alone has are
+    out before prefixes are grouped.
     """
-    keep = [c for c in rows.columns if c != "__text"]
-    hinted = broadcast_within(groups, broadcast_rows)
-    if hinted is not groups:
-        return rows.join(hinted, on, "left_semi").select(*keep, *[c.alias(k) for k, c in text_cols.items()])
-    return rows.select(*keep, *[c.alias(k) for k, c in text_cols.items()]).join(groups, on, "left_semi")
+    marks = materialize(rows.select("__n", _prefix(F.col("__text")).alias("__p")), "marks")
+    more = F.count(F.lit(1)) > 1
+    lengths = materialize(marks.groupBy("__n").agg(more.alias("__more")).filter("__more").select("__n"), "lengths")
+    return materialize(marks.join(lengths, "__n", "left_semi").groupBy("__n", "__p").agg(more.alias("__more")).filter("__more").select("__n", "__p"), "prefixes")
+
+
+def _groups(hashed: DataFrame) -> DataFrame:
+    """``sha256, keep_id, group_size`` of the groups of two or more, from rows ``__id, sha256``."""
+    return hashed.groupBy("sha256").agg(F.min("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter(F.col("group_size") > 1)
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
@@ -37,55 +41,57 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Each step groups the survivors of the step before by a finer key and keeps groups of two rows or
     more: length of the text, then a hash of its first characters, then SHA-256 of all of it. A
     column that is cheaper to know decides first; the full text is hashed for rows that still have a
-    partner. Counting is pre-aggregated before each shuffle, so a text that a third of all rows hold
-    makes one row per task.
+    partner (where their keys fit ``broadcast_rows``; beyond, digests and never texts are joined).
+    Counting is pre-aggregated before each shuffle, so a text that a third of all rows hold makes one
+    row per task.
 
-    Texts are compared after each run of ASCII white space became one space; null counts as the empty
-    text. ``keep_id`` is the smallest non-null id of the group, null if all ids are null. An empty
-    table gives no rows.
+    Texts of any length are compared after each run of ASCII white space became one space; null counts
+    as the empty text. ``keep_id`` is the smallest non-null id of the group, null if all ids are null.
+    An empty table gives no rows. Other columns are not read.
     """
     rows = _keys(docs, id_col, text_col)
-    more = F.col("__size") > 1
-    lengths = materialize(rows.groupBy("__n").agg(F.count(F.lit(1)).alias("__size")).filter(more).select("__n"), "lengths")
-    by_prefix = _only(rows, lengths, ["__n"], {"__p": _prefix(F.col("__text"))}, broadcast_rows)
-    prefixes = materialize(by_prefix.groupBy("__n", "__p").agg(F.count(F.lit(1)).alias("__size")).filter(more).select("__n", "__p"), "prefixes")
-    with_prefix = rows.withColumn("__p", _prefix(F.col("__text")))
-    by_hash = _only(with_prefix, prefixes, ["__n", "__p"], {"sha256": F.sha2(F.col("__text"), 256)}, broadcast_rows)
-    grouped = by_hash.groupBy("__n", "__p", "sha256").agg(F.min("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return grouped.filter(F.col("group_size") > 1).select("sha256", "keep_id", "group_size")
+    prefixes = _survivors(rows)
+    keyed = rows.withColumn("__p", _prefix(F.col("__text")))
+    hinted = broadcast_within(prefixes, broadcast_rows)
+    if hinted is not prefixes:
+        return _groups(keyed.join(hinted, ["__n", "__p"], "left_semi").select("__id", F.sha2("__text", 256).alias("sha256")))
+    return _groups(keyed.select("__id", "__n", "__p", F.sha2("__text", 256).alias("sha256")).join(prefixes, ["__n", "__p"], "left_semi"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, ``keep_id, group_size, kept, text_sha256``.
 
     ``kept`` is true for the row that stays; rows that repeat the id of the row that stays share its
-    fate. A row without id stays only in a group without any id. Other columns of ``docs`` are
+    fate. A row without id stays only in a group without any id. Null counts as the empty text, texts of
+    any length are read whole, and an empty table gives no rows. As every row's digest is asked for, the
+    last step writes all of them and groups those of the survivors alone. Other columns of ``docs`` are
     neither read nor returned, so their names cannot clash.
     """
-    groups = materialize(duplicate_groups(docs, id_col, text_col), "exact")
-    every = _keys(docs, id_col, text_col).select("__id", F.sha2("__text", 256).alias("sha256"))
-    out = every.join(groups, "sha256", "left")
+    rows = _keys(docs, id_col, text_col)
+    prefixes = _survivors(rows)
+    every = materialize(rows.select("__id", "__n", _prefix(F.col("__text")).alias("__p"), F.sha2("__text", 256).alias("sha256")), "digests")
+    groups = materialize(_groups(every.join(broadcast_within(prefixes, 200_000), ["__n", "__p"], "left_semi")), "exact").withColumnRenamed("sha256", "__sha")
+    out = every.join(groups, F.col("sha256") == F.col("__sha"), "left")
     size = F.coalesce(F.col("group_size"), F.lit(1).cast("bigint"))
     keep = F.when(F.col("group_size").isNull(), F.col("__id")).otherwise(F.col("keep_id"))
     return out.select(F.col("__id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("__id").eqNullSafe(keep).alias("kept"), F.col("sha256").alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
-    """``docs`` less every row whose text a row with a smaller id holds; all columns stay.
+    """``docs`` less every row whose text a row with a smaller id holds; all columns stay, whatever their names.
 
     The text itself is never shuffled while the groups of copies fit ``broadcast_rows``; beyond that
-    the rows are joined by hash.
+    the rows are joined by hash. Nulls, repeated ids and empty tables are as in ``exact_duplicates``.
     """
-    groups = materialize(duplicate_groups(docs, id_col, text_col), "exact")
+    groups = materialize(duplicate_groups(docs, id_col, text_col), "exact").select("sha256", F.struct("keep_id").alias("keep"))
     digest = F.sha2(one_space(text_or_empty(text_col)), 256)
-    keyed = groups.select(F.col("sha256").alias("__sha"), F.struct("keep_id").alias("__keep"))
-    hinted = broadcast_within(keyed, broadcast_rows)
-    joined = docs.withColumn("__digest", digest).join(hinted, F.col("__digest") == F.col("__sha"), "left")
-    stays = F.col("__keep").isNull() | F.col(f"`{id_col}`").eqNullSafe(F.col("__keep.keep_id"))
-    return joined.filter(stays).select(*[docs[f"`{c}`"] for c in docs.columns])
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest.alias("digest")).join(broadcast_within(groups, broadcast_rows), F.col("digest") == F.col("sha256"), "left")
+    stays = F.col("keep").isNull() | F.col("row").getField(id_col).eqNullSafe(F.col("keep.keep_id"))
+    return joined.filter(stays).select("row.*")
 
 
 def op9_exact_dedup(spark, sf_dir):
+    """Every document with the row that stays of its group."""
     return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
