@@ -20,28 +20,33 @@ NUMBER = r"\A[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 STAMP = r"\A([0-9]{4})(-?)([0-9]{2})\2([0-9]{2})[T ]([0-9]{2})(?:(:?)([0-9]{2})(?:\6([0-9]{2})(?:[.,]([0-9]{1,6})[0-9]*)?)?)?(Z|[+-][0-9]{2}(?::?[0-9]{2})?)?\z"
 
 
+def bound(value: Column, build) -> Column:
+    """``build(value)`` with ``value`` computed once, however often ``build`` uses it."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def number(text: Column) -> Column:
     """DOUBLE of a plain number; null for anything else."""
-    clean = stripped(text)
-    return F.when(clean.rlike(NUMBER), clean.try_cast("double"))
+    return bound(stripped(text), lambda clean: F.when(clean.rlike(NUMBER), clean.try_cast("double")))
 
 
 def power_mw(text: Column, unit: str) -> Column:
     """Megawatts from text in ``MW`` or ``kW``; kilowatts are divided as decimals. Null unless finite and not negative."""
     if unit not in ("MW", "kW"):
         raise InvalidRequestError("unsupported power unit")
-    clean = stripped(text)
-    value = number(text)
-    if unit == "kW":
-        exact = (clean.try_cast("decimal(38,12)") / 1000).cast("double")
-        value = F.when(value.isNotNull(), F.coalesce(exact, value / 1000))
-    return F.when(non_negative(value), value)
+
+    def convert(clean: Column) -> Column:
+        value = clean.try_cast("double")
+        if unit == "kW":
+            value = F.coalesce((clean.try_cast("decimal(38,12)") / 1000).cast("double"), value / 1000)
+        return F.when(clean.rlike(NUMBER), bound(value, lambda v: F.when(non_negative(v), v)))
+
+    return bound(stripped(text), convert)
 
 
 def decimal_amount(text: Column, precision: int = 28, scale: int = 10) -> Column:
     """DECIMAL of a plain number; null for anything else or what does not fit."""
-    clean = stripped(text)
-    return F.when(clean.rlike(NUMBER), clean.try_cast(f"decimal({precision},{scale})"))
+    return bound(stripped(text), lambda clean: F.when(clean.rlike(NUMBER), clean.try_cast(f"decimal({precision},{scale})")))
 
 
 def decimal_text(value: Column) -> Column:
@@ -62,13 +67,27 @@ def zone(name: str | None) -> str | None:
     return name
 
 
-def _parts(text: Column) -> tuple[Column, Column]:
-    clean = stripped(text)
-    part = lambda i: F.regexp_extract(clean, STAMP, i)
-    or_zero = lambda i: F.when(part(i) == "", "00").otherwise(part(i))
-    local = F.concat(part(1), F.lit("-"), part(3), F.lit("-"), part(4), F.lit(" "), part(5), F.lit(":"), or_zero(7), F.lit(":"), or_zero(8), F.lit("."), F.rpad(part(9), 6, "0"))
-    offset = F.regexp_replace(F.regexp_replace(part(10), "^([+-][0-9]{2})$", "$1:00"), "^([+-][0-9]{2})([0-9]{2})$", "$1:$2")
-    return F.when(clean.rlike(STAMP), local), offset
+def _plain(value: Column, build) -> Column:
+    """``build(value)`` without a lambda, for what goes into a Python function; Spark finds the repeats itself."""
+    return build(value)
+
+
+def _parts(text: Column, bound=bound) -> Column:
+    """``date and hour, minute, second, fraction, zone`` of a stamp in one match; null for other texts.
+
+    Stamps are told by the mark that the replacement puts before them, which no stamp contains.
+    """
+    cut = lambda clean: bound(F.regexp_replace(clean, STAMP, "\x01$1-$3-$4 $5|$7|$8|$9|$10"), lambda made: F.when((made != clean) & made.startswith("\x01"), F.split(F.substring(made, 2, 80), r"\|")))
+    return bound(stripped(text), cut)
+
+
+def _instants(parts: Column) -> Column:
+    """``struct<aware, naive>`` of a stamp's parts: the first in UTC if there is a zone, the second as it stands if there is none."""
+    local = F.concat(parts[0], F.lit(":"), F.rpad(parts[1], 2, "0"), F.lit(":"), F.rpad(parts[2], 2, "0"), F.lit("."), F.rpad(parts[3], 6, "0"))
+    zone = parts[4]
+    offset = F.when(zone == "Z", "+00:00").when(F.length(zone) == 3, F.concat(zone, F.lit(":00"))).when(F.length(zone) == 5, F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2))).otherwise(zone)
+    aware = F.when(zone != "", F.concat(local, offset).try_cast("timestamp").cast("timestamp_ntz"))
+    return F.struct(aware.alias("aware"), F.when(zone == "", local.try_cast("timestamp_ntz")).alias("naive"))
 
 
 def _localize(local: pa.Array, zones: pa.Array) -> pa.Array:
@@ -98,11 +117,12 @@ def timestamp_utc(text: Column, source_zone: str | None = None) -> Column:
 
     Null for bare numbers, dates alone, impossible dates, and local times that are skipped or ambiguous.
     """
-    local, offset = _parts(text)
-    naive = local.try_cast("timestamp_ntz")
-    aware = F.concat(local, F.when(offset == "Z", "+00:00").otherwise(offset)).try_cast("timestamp").cast("timestamp_ntz")
-    plain = F.lit(None).cast("timestamp_ntz") if source_zone is None else naive if source_zone == "UTC" else local_to_utc(naive, zone(source_zone))
-    return F.when(offset != "", aware).otherwise(plain)
+    if source_zone is None:
+        return bound(_parts(text), lambda p: _instants(p)["aware"])
+    if source_zone == "UTC":
+        return bound(_parts(text), lambda p: bound(_instants(p), lambda i: F.coalesce(i["aware"], i["naive"])))
+    found = _instants(_parts(text, _plain))
+    return F.coalesce(found["aware"], local_to_utc(found["naive"], zone(source_zone)))
 
 
 def utc_iso(time: Column) -> Column:

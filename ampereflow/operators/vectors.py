@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import islice
 from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConflictError, DependencyUnavailableError, InvalidRequestError
+from ..functions.normalize import point_uuid
+from ..schemas import stripped
 from ..schemas import vector as is_vector
+from ..shared import broadcast_within, materialize
 
 KEY = ("document_id", "chunk_id")
 DISTANCES = ("cosine", "dot", "euclid", "manhattan")
+#: Most keys of a call that are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
+_MADE_FOR = "_collection"
 
 
 def _sum(values: Column) -> Column:
@@ -145,46 +152,124 @@ def classify(incoming: DataFrame, stored: DataFrame, key: tuple[str, ...] = KEY,
     """For each key that comes in: ``action`` ``insert``, ``skip`` or ``conflict``.
 
     Equal repeats within the call are one; different ones are a conflict, and so is a stored row of
-    other content. Keys are aggregated before they are joined.
+    other content. The keys of the call are aggregated and written first, and of the stored rows only
+    those with such a key are grouped: a small call shuffles little of a large table.
     """
     calls = incoming.groupBy(*key).agg(F.min(content).alias("__low"), F.max(content).alias("__high"), F.count(F.lit(1)).alias("__n"), F.count(content).alias("__known"))
-    kept = stored.groupBy(*key).agg(F.min(content).alias("__stored"), F.lit(True).alias("__there"))
+    calls = materialize(calls, "calls")
+    asked = broadcast_within(calls.select(*key), BROADCAST_KEYS)
+    kept = stored.join(asked, list(key), "left_semi").groupBy(*key).agg(F.min(content).alias("__stored"), F.max(content).alias("__other"), F.lit(True).alias("__there"))
     mixed = ~F.col("__low").eqNullSafe(F.col("__high")) | ((F.col("__known") > 0) & (F.col("__known") < F.col("__n")))
-    action = F.when(mixed, "conflict").when(F.col("__there").isNull(), "insert").when(F.col("__stored").eqNullSafe(F.col("__low")), "skip").otherwise("conflict")
+    same = F.col("__stored").eqNullSafe(F.col("__low")) & F.col("__other").eqNullSafe(F.col("__low"))
+    action = F.when(mixed, "conflict").when(F.col("__there").isNull(), "insert").when(same, "skip").otherwise("conflict")
     return calls.join(kept, list(key), "left").select(*key, action.alias("action"))
 
 
+def require_stored(incoming: DataFrame, stored: DataFrame, key: tuple[str, ...] = KEY, content: str = "fingerprint") -> None:
+    """After a write: every row must be read back as it was; a missing one means that the store failed, a different one a conflict."""
+    actions = {r.action for r in classify(incoming, stored, key, content).select("action").distinct().collect()}  # at most three
+    if "conflict" in actions:
+        raise ConflictError("a stored row differs from the written one")
+    if "insert" in actions:
+        raise DependencyUnavailableError("a written row can't be read back")
+
+
 def index(incoming: DataFrame, path: str, dimension: int, *content: str) -> int:
     """Append new entries to the Parquet table at ``path``; the number of rows written.
 
-    Any conflict or wrong dimension is raised before anything is written; equal entries are skipped.
+    Any conflict or wrong dimension is raised before anything is written; equal entries are skipped. What
+    was written is read back and compared.
     """
     spark = incoming.sparkSession
     if incoming.filter(~is_vector(F.col("vector")) | (F.size("vector") != dimension)).limit(1).count():
         raise InvalidRequestError("an entry has another dimension")
     entries = fingerprinted(incoming, "vector", *content)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    exists = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    stored = spark.read.parquet(path).select(*KEY, "fingerprint") if exists else entries.limit(0).select(*KEY, "fingerprint")
-    actions = classify(entries, stored).cache()
-    try:
-        if actions.filter("action = 'conflict'").limit(1).count():
-            raise ConflictError("an entry differs from the stored one")
-        new = entries.join(actions.filter("action = 'insert'").select(*KEY), list(KEY), "left_semi").dropDuplicates(list(KEY))
-        count = actions.filter("action = 'insert'").count()
-        if count:
-            new.write.mode("append").parquet(path)
-        return count
-    finally:
-        actions.unpersist()
-
-
-def collection_state(spark, path: str, dimension: int) -> str:
-    """``absent``, or ``ready`` if all stored vectors have the dimension; another one is a conflict."""
+    stored = spark.read.schema(entries.schema).parquet(path).select(*KEY, "fingerprint") if _exists(spark, path) else entries.limit(0).select(*KEY, "fingerprint")
+    actions = materialize(classify(entries, stored), "actions")
+    if actions.filter("action = 'conflict'").limit(1).count():
+        raise ConflictError("an entry differs from the stored one")
+    wanted = actions.filter("action = 'insert'").select(*KEY)
+    count = wanted.count()
+    if count:
+        new = materialize(entries.join(broadcast_within(wanted, BROADCAST_KEYS), list(KEY), "left_semi").dropDuplicates(list(KEY)), "new")
+        new.write.mode("append").parquet(path)
+        require_stored(new, spark.read.parquet(path).select(*KEY, "fingerprint"))
+    return count
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def collection_status(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+    """``name, status`` of the collections ``wanted (name, dimension, distance)`` among the ``existing`` ones.
+
+    ``absent``, ``ready``, ``other_dimension`` or ``other_distance``; both must agree for a collection to be used.
+    """
+    held = existing.select("name", F.col("dimension").alias("__size"), F.col("distance").alias("__distance"))
+    status = F.when(F.col("__size").isNull(), "absent").when(F.col("__size") != F.col("dimension"), "other_dimension").when(F.col("__distance") != F.col("distance"), "other_distance").otherwise("ready")
+    return wanted.join(held, "name", "left").select("name", status.alias("status"))
+
+
+def collection_state(spark: SparkSession, path: str, dimension: int, distance: str = "cosine") -> str:
+    """``absent``, or ``ready`` if the collection at ``path`` was made for this dimension and distance; others are a conflict.
+
+    What a collection is made for is a table of one row beside its entries, so no entry is read.
+    """
+    if not _exists(spark, f"{path}/{_MADE_FOR}"):
         return "absent"
-    if spark.read.parquet(path).filter(F.size("vector") != dimension).limit(1).count():
-        raise ConflictError("the collection has another dimension")
-    return "ready"
+    wanted = spark.createDataFrame([(path, dimension, distance)], "name string, dimension int, distance string")
+    status = collection_status(wanted, spark.read.parquet(f"{path}/{_MADE_FOR}").withColumn("name", F.lit(path))).first().status
+    if status != "ready":
+        raise ConflictError(f"the collection has an{status.replace('_', ' ')}" if status.startswith("other") else "the collection can't be read")
+    return status
+
+
+def ensure_collection(spark: SparkSession, path: str, dimension: int, distance: str = "cosine") -> bool:
+    """Make the collection if it is absent, and verify it; whether it was made now."""
+    if dimension < 1 or distance not in DISTANCES:
+        raise InvalidRequestError("a collection needs a positive dimension and a known distance")
+    made = collection_state(spark, path, dimension, distance) == "absent"
+    if made:
+        spark.createDataFrame([(dimension, distance)], "dimension int, distance string").coalesce(1).write.parquet(f"{path}/{_MADE_FOR}")
+        collection_state(spark, path, dimension, distance)
+    return made
+
+
+#: The fields of a stored entry's payload.
+PAYLOAD_KEYS = ("chunk_id", "content_sha256", "document_id", "ordinal", "page_number", "text")
+
+
+def decode_payloads(points: DataFrame, namespace: uuid.UUID) -> DataFrame:
+    """Stored ``points (id, payload)``, payload a JSON text, as fields, with ``problem`` where one can't be trusted.
+
+    ``payload`` unless it is an object of exactly the known fields; ``type`` unless ids, text and digest are
+    texts that are not blank, the ordinal a whole number from 0 and the page number null or a whole
+    number from 1; ``digest`` unless that has 64 hexadecimal digits; ``id`` unless it is the UUID of the
+    keys. The first of these counts. Fields of a bad payload are null.
+    """
+    tree = F.try_parse_json("payload")
+    kind = lambda name: F.schema_of_variant(F.try_variant_get("__tree", f"$.{name}", "variant"))
+    text = lambda name: F.try_variant_get("__tree", f"$.{name}", "string")
+    whole = lambda name: F.try_variant_get("__tree", f"$.{name}", "bigint")
+    rows = points.withColumn("__tree", tree)
+    keys = F.array_sort(F.json_object_keys("payload"))
+    exact = F.coalesce(F.col("__tree").isNotNull() & (F.size(keys) == len(PAYLOAD_KEYS)) & (keys == F.array(*map(F.lit, PAYLOAD_KEYS))), F.lit(False))
+    texts = F.lit(True)
+    for name in ("chunk_id", "content_sha256", "document_id", "text"):
+        texts = texts & F.coalesce((kind(name) == "STRING") & (stripped(text(name)) != ""), F.lit(False))
+    numbers = F.coalesce((kind("ordinal") == "BIGINT") & (whole("ordinal") >= 0), F.lit(False)) & F.coalesce((kind("page_number") == "VOID") | ((kind("page_number") == "BIGINT") & (whole("page_number") >= 1)), F.lit(False))
+    own = point_uuid(namespace, text("document_id"), text("chunk_id"))
+    problem = F.when(~exact, "payload").when(~(texts & numbers), "type").when(~text("content_sha256").rlike(r"\A[0-9a-f]{64}\z"), "digest").when(~F.coalesce(F.lower("id") == own, F.lit(False)), "id")
+    rows = rows.withColumn("problem", problem)
+    field = lambda value, name: F.when(F.col("problem").isNull(), value).alias(name)
+    return rows.select("id", *[field(text(n), n) for n in ("document_id", "chunk_id", "text", "content_sha256")], field(whole("ordinal").cast("int"), "ordinal"), field(whole("page_number").cast("int"), "page_number"), "problem")
+
+
+def require_decoded(points: DataFrame, namespace: uuid.UUID) -> DataFrame:
+    """The decoded points; one that can't be trusted means that the store can't be used."""
+    found = decode_payloads(points, namespace)
+    if found.filter("problem is not null").limit(1).count():
+        raise DependencyUnavailableError("a stored entry can't be read")
+    return found.drop("problem")

@@ -39,9 +39,13 @@ RECORDS = {
 BLANK = r"[\s\x1c-\x1f\x85   -     　]"
 
 
+#: The same characters one by one.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(text: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def finite(x: Column) -> Column:

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from ..errors import DependencyUnavailableError, InvalidRequestError
 from ..functions.normalize import clean_text
 from ..operators import vectors
+from ..schemas import stripped
+from ..shared import materialize
 
 CHUNK_SCHEMA = "document_id string, chunk_id string, ordinal int, text string, page_number int"
 
 
 def split_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A chunk for each line with text: ordinals count chunks, page numbers count lines from 1."""
-    pieces = F.transform(F.split(F.regexp_replace(F.coalesce(text_col, F.lit("")), "\r\n?", "\n"), "\n"), lambda t, i: F.struct(clean_text(t).alias("text"), (i + 1).alias("page")))
+    pieces = F.transform(F.split(F.regexp_replace(F.coalesce(text_col, F.lit("")), "\r\n?", "\n"), "\n"), lambda t, i: F.struct(stripped(t).alias("text"), (i + 1).alias("page")))
     kept = docs.select(F.col(id_col).cast("string").alias("document_id"), F.posexplode(F.filter(pieces, lambda p: p["text"] != "")).alias("ordinal", "p"))
     return kept.select("document_id", F.concat_ws(":", "document_id", F.col("ordinal").cast("string")).alias("chunk_id"), "ordinal", F.col("p.text").alias("text"), F.col("p.page").alias("page_number"))
 
@@ -83,12 +85,9 @@ def index_chunks(chunks: DataFrame, model, path: str, dimension: int) -> int:
     """Embed and index chunks; nothing is asked of the model without chunks."""
     if not chunks.limit(1).count():
         return 0
-    embedded = embed(chunks, model).cache()
-    try:
-        vectors.require_complete(chunks, embedded, dimension)
-        return vectors.index(vectors.prepare(chunks, embedded), path, dimension, "ordinal", "text")
-    finally:
-        embedded.unpersist()
+    embedded = materialize(embed(chunks, model), "embedded")  # the model is asked once
+    vectors.require_complete(chunks, embedded, dimension)
+    return vectors.index(vectors.prepare(chunks, embedded), path, dimension, "ordinal", "text")
 
 
 def infer_constraints(spark: SparkSession, text: str, limit: int, model, path: str, infer: Callable[[list], list[dict]], distance: str = "cosine") -> list[dict]:

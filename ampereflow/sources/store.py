@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConflictError, DependencyUnavailableError, InvalidRequestError
-from ..operators.vectors import classify
+from ..operators.vectors import BROADCAST_KEYS, classify, require_stored
 from ..schemas import non_empty, non_negative
 from ..series import LOAD, Series
+from ..shared import broadcast_within, materialize
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -37,11 +38,18 @@ def upsert_actions(incoming: DataFrame, stored: DataFrame, series: Series = LOAD
     return classify(incoming, stored, series.row, series.value)
 
 
+def _days_of(stored: DataFrame, rows: DataFrame, time: str) -> DataFrame:
+    """The stored rows of the days that ``rows`` span, by the partition column, so that other days are not read."""
+    ends = rows.agg(F.min(F.to_date(time)).alias("low"), F.max(F.to_date(time)).alias("high")).first()
+    return stored.filter(F.col("day").between(F.lit(ends.low), F.lit(ends.high))) if "day" in stored.columns else stored
+
+
 def save(rows: DataFrame, path: str, series: Series = LOAD) -> int:
-    """Append what is new to the Parquet table at ``path``; the number of rows written.
+    """Append what is new to the Parquet table at ``path``, by day; the number of rows written.
 
     Invalid rows and conflicts, within the batch or with the table, are raised before anything is
-    written, and equal rows are skipped, so a retry changes nothing. Two writers at once are not
+    written, and equal rows are skipped, so a retry changes nothing. What was written is read back: a
+    missing row means that the store failed, a different one a conflict. Two writers at once are not
     isolated from each other by plain Parquet.
     """
     spark = rows.sparkSession
@@ -49,19 +57,17 @@ def save(rows: DataFrame, path: str, series: Series = LOAD) -> int:
     good = good & (non_negative(F.col(series.value)) if series == LOAD else F.col(series.value).isNotNull())
     if rows.filter(~good).limit(1).count():
         raise InvalidRequestError("a row breaks the table's rules")
-    stored = spark.read.parquet(path) if exists(spark, path) else rows.limit(0)
-    actions = upsert_actions(rows, stored, series).cache()
-    try:
-        if actions.filter("action = 'conflict'").limit(1).count():
-            raise ConflictError("a row differs from the stored one")
-        new = actions.filter("action = 'insert'")
-        count = new.count()
-        if count:
-            fresh = rows.join(new.select(*series.row), list(series.row), "left_semi").dropDuplicates(list(series.row))
-            fresh.write.mode("append").parquet(path)
-        return count
-    finally:
-        actions.unpersist()
+    stored = _days_of(spark.read.parquet(path), rows, series.time) if exists(spark, path) else rows.limit(0)
+    actions = materialize(upsert_actions(rows, stored, series), "actions")
+    if actions.filter("action = 'conflict'").limit(1).count():
+        raise ConflictError("a row differs from the stored one")
+    wanted = actions.filter("action = 'insert'").select(*series.row)
+    count = wanted.count()
+    if count:
+        fresh = materialize(rows.join(broadcast_within(wanted, BROADCAST_KEYS), list(series.row), "left_semi").dropDuplicates(list(series.row)), "fresh")
+        fresh.withColumn("day", F.to_date(series.time)).write.mode("append").partitionBy("day").parquet(path)
+        require_stored(fresh, _days_of(spark.read.parquet(path), fresh, series.time), series.row, series.value)
+    return count
 
 
 def letter_key(record_id):
@@ -79,18 +85,15 @@ def enqueue(letters: DataFrame, path: str) -> int:
     """Append dead letters as JSON; an equal retry is a no-op, another content for an id is a conflict."""
     spark = letters.sparkSession
     stored = spark.read.schema(letters.schema).json(path) if exists(spark, path) else letters.limit(0)
-    actions = dead_letter_actions(letters, stored).cache()
-    try:
-        if actions.filter("action = 'conflict'").limit(1).count():
-            raise ConflictError("a dead letter differs from the stored one")
-        new = actions.filter("action = 'insert'").select("key")
-        count = new.count()
-        if count:
-            keyed = letters.withColumn("key", letter_key(F.col("record_id"))).dropDuplicates(["key"])
-            keyed.join(new, "key", "left_semi").drop("key").write.mode("append").json(path)
-        return count
-    finally:
-        actions.unpersist()
+    actions = materialize(dead_letter_actions(letters, stored), "actions")
+    if actions.filter("action = 'conflict'").limit(1).count():
+        raise ConflictError("a dead letter differs from the stored one")
+    wanted = actions.filter("action = 'insert'").select("key")
+    count = wanted.count()
+    if count:
+        keyed = letters.withColumn("key", letter_key(F.col("record_id"))).dropDuplicates(["key"])
+        keyed.join(broadcast_within(wanted, BROADCAST_KEYS), "key", "left_semi").drop("key").write.mode("append").json(path)
+    return count
 
 
 class TtlCache:

@@ -97,9 +97,9 @@ def route(rows: DataFrame, width: int, columns: dict[str, int], unit: str = "MW"
     cell = lambda name: F.get("cells", columns[name])
     consumer = stripped(cell("consumer_id"))
     time, value = timestamp_utc(cell("timestamp"), source_zone), power_mw(cell("value_mw"), unit)
-    good = (F.coalesce(consumer, F.lit("")) != "") & time.isNotNull() & value.isNotNull()
-    rows = rows.select("pos", shape.alias("__shape"), consumer.alias("consumer_id"), time.alias("timestamp"), value.alias("value_mw"), good.alias("__good"))
-    code = F.when(F.col("__shape"), "row_shape_invalid").when(~F.col("__good"), "row_validation_failed")
+    rows = rows.select("pos", shape.alias("__shape"), consumer.alias("consumer_id"), time.alias("timestamp"), value.alias("value_mw"))
+    good = (F.coalesce("consumer_id", F.lit("")) != "") & F.col("timestamp").isNotNull() & F.col("value_mw").isNotNull()
+    code = F.when(F.col("__shape"), "row_shape_invalid").when(~good, "row_validation_failed")
     return rows.select("pos", "consumer_id", "timestamp", "value_mw", code.alias("code"))
 
 

@@ -33,6 +33,39 @@ def test_save_is_idempotent_and_refuses_conflicts(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
 
 
+def test_writes_read_only_the_batch_from_the_store(spark, tmp_path):
+    path = str(tmp_path / "t")
+    days = spark.createDataFrame([("c", datetime(2026, 1, d), float(d)) for d in range(1, 29)], OBSERVATION)
+    assert store.save(days, path) == 28
+    batch = spark.createDataFrame([("c", datetime(2026, 1, 3), 3.0), ("c", datetime(2026, 1, 4, 5), 1.0)], OBSERVATION)
+    stored = store._days_of(spark.read.parquet(path), batch, "timestamp")
+    assert len(stored.inputFiles()) == 28 and stored.count() == 2
+    plan = store.upsert_actions(batch, stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("LeftSemi") > plan.index("Aggregate")  # rows are dropped below the grouping
+    assert store.save(batch, path) == 1
+
+
+def test_payloads_are_decoded_or_refused(spark):
+    import json
+
+    space = uuid.UUID("6ba7b810-9dad-11d1-80b4-00c04fd430c8")
+    good = {"document_id": "d", "chunk_id": "c", "ordinal": 0, "text": "t", "page_number": None, "content_sha256": "a" * 64}
+    place = str(uuid.uuid5(space, '["d","c"]'))
+    cases = [
+        (place, good, None), (place.upper(), good | {"page_number": 3}, None), (place, good | {"more": 1}, "payload"), (place, {k: v for k, v in good.items() if k != "text"}, "payload"), (place, [1], "payload"),
+        (place, good | {"ordinal": "0"}, "type"), (place, good | {"ordinal": -1}, "type"), (place, good | {"ordinal": True}, "type"), (place, good | {"ordinal": 1.5}, "type"), (place, good | {"page_number": 0}, "type"),
+        (place, good | {"text": 5}, "type"), (place, good | {"text": " "}, "type"), (place, good | {"content_sha256": "A" * 64}, "digest"), (place, good | {"content_sha256": "a" * 63}, "digest"),
+        (place, good | {"chunk_id": "e"}, "id"), ("x", good, "id"), (None, good, "id"),
+    ]
+    points = spark.createDataFrame([(i, json.dumps(p), n) for n, (i, p, _) in enumerate(cases)] + [(place, "{", 90), (place, None, 91)], "id string, payload string, n int")
+    found = vectors.decode_payloads(points, space).collect()
+    assert [r.problem for r in found] == [c for *_, c in cases] + ["payload", "payload"]
+    assert (found[1].page_number, found[0].text, found[2].text) == (3, "t", None)
+    assert vectors.require_decoded(points.filter("n < 2"), space).count() == 2
+    with pytest.raises(DependencyUnavailableError):
+        vectors.require_decoded(points, space)
+
+
 def test_stream_of_batches_lands_once(spark, tmp_path):
     from ampereflow.streaming.upserts import save_stream
 
@@ -83,10 +116,19 @@ def test_vector_index_and_search(spark, tmp_path):
     path = str(tmp_path / "v")
     rows = entries(spark, ("a", (1, 0)), ("b", (0, 2)), ("c", (3, 3)))
     assert vectors.collection_state(spark, path, 2) == "absent"
+    assert vectors.ensure_collection(spark, path, 2) and not vectors.ensure_collection(spark, path, 2)
     assert vectors.index(rows, path, 2, "ordinal", "text") == 3 and vectors.index(rows, path, 2, "ordinal", "text") == 0
     assert vectors.collection_state(spark, path, 2) == "ready"
+    for dimension, distance in ((3, "cosine"), (2, "dot")):
+        with pytest.raises(ConflictError):
+            vectors.collection_state(spark, path, dimension, distance)
+    with pytest.raises(InvalidRequestError):
+        vectors.ensure_collection(spark, path, 0)
+    stored = spark.read.parquet(path)
+    with pytest.raises(DependencyUnavailableError):
+        vectors.require_stored(vectors.fingerprinted(entries(spark, ("q", (1, 1))), "vector"), stored)
     with pytest.raises(ConflictError):
-        vectors.collection_state(spark, path, 3)
+        vectors.require_stored(vectors.fingerprinted(rows, "vector"), stored)
     with pytest.raises(ConflictError):
         vectors.index(rows.withColumn("text", F.lit("u")), path, 2, "ordinal", "text")
     for bad in (entries(spark, ("z", (1, 2, 3))), entries(spark, ("z", (1, float("nan"))))):
