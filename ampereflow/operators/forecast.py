@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidRequestError
 from ..series import LOAD, Series
+from .regression import AMOUNT, PREDICTED, TERM, exact
 
 
 def _lagged(targets: DataFrame, history: DataFrame, series: Series, hours: int) -> DataFrame:
@@ -36,13 +39,17 @@ def ols(targets: DataFrame, history: DataFrame, fit: DataFrame, series: Series)
     price may. ``fit`` has a row for each entity; an entity without a sound fit is ``unfitted``.
     """
     rows = _lagged(_lagged(targets, history, series, 24), history, series, 168)
-    sound = fit.filter("status = 'ok'").drop("n", "status")
+    sound = exact(fit, series).filter("status = 'ok'").drop("n", "status")
     rows = rows.join(sound, list(series.keys), "left")
-    value = F.col("intercept") + F.col("b1") * F.col("lag_24h").cast("double") + F.col("b2") * F.col("lag_168h").cast("double")
+    if series == LOAD:
+        value = F.col("intercept") + F.col("b1") * F.col("lag_24h").cast("double") + F.col("b2") * F.col("lag_168h").cast("double")
+    else:
+        times = lambda c, name: F.try_multiply(F.col(c), F.col(name).try_cast(AMOUNT)).try_cast(TERM)
+        value = F.try_add(F.try_add(times("b1", "lag_24h"), times("b2", "lag_168h")).try_cast(TERM), F.col("intercept")).try_cast(PREDICTED)
     status = F.lit(None).cast("string")
     for hours in (24, 168):
         status = F.coalesce(status, F.when(F.col(f"n_{hours}h").isNull(), f"missing_{hours}h").when(F.col(f"n_{hours}h") > 1, f"duplicate_{hours}h"))
-    status = F.coalesce(status, F.when(F.col("b1").isNull(), "unfitted"))
+    status = F.coalesce(status, F.when(F.col("b1").isNull() | F.col("b2").isNull() | F.col("intercept").isNull(), "unfitted"))
     if series == LOAD:
         status = F.coalesce(status, F.when(value < 0, "negative"))
     rows = rows.withColumn("status", F.coalesce(status, F.lit("ok")))
@@ -57,8 +64,12 @@ def require_forecast(forecast: DataFrame) -> DataFrame:
     return forecast
 
 
-def check_request(history: DataFrame, targets: DataFrame, series: Series, entity: dict[str, str]) -> None:
-    """A request names one entity, has a target at least, and its history is of that entity alone."""
+def check_request(history: DataFrame, targets: DataFrame, series: Series, entity: dict[str, str], run_id: str, generated_at: datetime) -> None:
+    """A request has a run id, a generation time in UTC, one entity and a target at least; its history is of that entity alone."""
+    if not run_id or not run_id.strip() or any(not entity[k] or not entity[k].strip() for k in series.keys):
+        raise InvalidRequestError("an id is empty")
+    if generated_at.utcoffset() is None or generated_at.utcoffset():
+        raise InvalidRequestError("the generation time is not in UTC")
     if not targets.limit(1).count():
         raise InvalidRequestError("no target was requested")
     other = F.lit(False)

@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..series import Series
+from ..series import LOAD, Series
+
+#: Prices, slopes and intercepts, their products, and predictions and errors, as decimals.
+AMOUNT, SLOPE, INTERCEPT, TERM, PREDICTED = "decimal(18,4)", "decimal(26,18)", "decimal(32,15)", "decimal(34,15)", "decimal(30,12)"
 
 
 def _double(name: str) -> Column:
@@ -97,18 +100,48 @@ def fit_decimal(training: DataFrame, series: Series, features: tuple[str, ...] =
     return sums.mapInPandas(solve, f"{keys}, n bigint, {', '.join(f'{c} string' for c in names)}, status string")
 
 
+def fit(training: DataFrame, series: Series, lags: int = 1) -> DataFrame:
+    """The fit of each entity on one lag or two: in doubles for loads, in decimals for prices."""
+    if series == LOAD:
+        return fit_one(training, series) if lags == 1 else fit_two(training, series)
+    return fit_decimal(training, series, ("lag_24h", "lag_168h")[:lags])
+
+
+def exact(found: DataFrame, series: Series) -> DataFrame:
+    """Coefficients as decimals of fixed scale; null where one is too large, which then predicts nothing."""
+    if series == LOAD:
+        return found
+    return found.withColumns({c: F.col(c).try_cast(INTERCEPT if c == "intercept" else SLOPE) for c in ("slope", "b1", "b2", "intercept") if c in found.columns})
+
+
 def predict(fit: DataFrame, rows: DataFrame, series: Series) -> DataFrame:
-    """Keys, time, ``predicted, actual`` of rows whose entity has a sound fit; predictions may be negative."""
+    """Keys, time, ``predicted, actual`` of rows whose entity has a sound fit; predictions may be negative.
+
+    Loads are computed in doubles. Prices stay decimals: each product keeps 15 digits behind the point,
+    and a prediction has 12.
+    """
     two = "b1" in fit.columns
-    sound = fit.filter("status = 'ok'").drop("n", "status")
-    value = F.col("intercept") + F.col("b1") * _double("lag_24h") + F.col("b2") * _double("lag_168h") if two else F.col("slope") * _double("lag_24h") + F.col("intercept")
+    sound = exact(fit, series).filter("status = 'ok'").drop("n", "status")
+    lag = _double if series == LOAD else (lambda name: F.col(name).try_cast(AMOUNT))
+    if series == LOAD:
+        value = F.col("intercept") + F.col("b1") * lag("lag_24h") + F.col("b2") * lag("lag_168h") if two else F.col("slope") * lag("lag_24h") + F.col("intercept")
+    else:
+        times = lambda c, name: F.try_multiply(F.col(c), lag(name)).try_cast(TERM)
+        value = F.try_add(F.try_add(times("b1", "lag_24h"), times("b2", "lag_168h")).try_cast(TERM), F.col("intercept")) if two else F.try_add(times("slope", "lag_24h"), F.col("intercept"))
+        value = value.try_cast(PREDICTED)
     return rows.join(sound, list(series.keys)).select(*series.row, value.alias("predicted"), F.col("target").alias("actual"))
 
 
-def mean_absolute_error(cases: DataFrame, series: Series) -> DataFrame:
-    """Per entity: ``n`` and ``mae``; decimal cases are summed as decimals before the division."""
+def _error(series: Series) -> Column:
     error = F.abs(F.col("predicted") - F.col("actual"))
-    return cases.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("n"), (F.sum(error).cast("double") / F.count(F.lit(1))).alias("mae"))
+    return error.cast("double") if series == LOAD else error.cast(PREDICTED)
+
+
+def mean_absolute_error(cases: DataFrame, series: Series) -> DataFrame:
+    """Per entity: ``n`` and ``mae``; errors of prices are summed as decimals, and their mean is one of 12 digits behind the point."""
+    n = F.count(F.lit(1))
+    mean = F.sum(_error(series)) / n if series == LOAD else F.try_divide(F.sum(_error(series)), n.cast("decimal(20,0)")).cast(PREDICTED)
+    return cases.groupBy(*series.keys).agg(n.alias("n"), mean.alias("mae"))
 
 
 def compare(cohorts: dict[str, DataFrame], series: Series) -> DataFrame:
@@ -120,8 +153,8 @@ def compare(cohorts: dict[str, DataFrame], series: Series) -> DataFrame:
     """
     rows = None
     for name, cases in cohorts.items():
-        error = F.abs(F.col("predicted") - F.col("actual")).cast("double")
-        part = cases.select(*series.row, F.lit(name).alias("model"), error.alias("error"), _double("actual").alias("actual"))
+        actual = _double("actual") if series == LOAD else F.col("actual").cast(PREDICTED)
+        part = cases.select(*series.row, F.lit(name).alias("model"), _error(series).alias("error"), actual.alias("actual"))
         rows = part if rows is None else rows.unionByName(part)
     by_model = {name: F.max(F.when(F.col("model") == name, F.col("error"))).alias(f"e_{name}") for name in cohorts}
     present = [F.count(F.when(F.col("model") == name, 1)) == 1 for name in cohorts]
@@ -129,7 +162,8 @@ def compare(cohorts: dict[str, DataFrame], series: Series) -> DataFrame:
     for one in present:
         aligned = aligned & one
     instants = rows.groupBy(*series.row).agg(*by_model.values(), aligned.alias("aligned"))
-    return instants.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"e_{name}").alias(f"mae_{name}") for name in cohorts], F.count(F.when(~F.col("aligned"), 1)).alias("misaligned"))
+    mean = (lambda c: F.avg(c)) if series == LOAD else (lambda c: F.try_divide(F.sum(c), F.count(c).cast("decimal(20,0)")).cast(PREDICTED))
+    return instants.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("n"), *[mean(f"e_{name}").alias(f"mae_{name}") for name in cohorts], F.count(F.when(~F.col("aligned"), 1)).alias("misaligned"))
 
 
 def backtest(features: DataFrame, series: Series, models: tuple[str, ...]) -> DataFrame:
@@ -144,5 +178,5 @@ def backtest(features: DataFrame, series: Series, models: tuple[str, ...]) -> Da
         if model == "persistence":
             cohorts[model] = rows.select(*series.row, F.col("lag_24h").alias("predicted"), F.col("target").alias("actual"))
         else:
-            cohorts[model] = predict(fit_one(train, series) if model == "ols1" else fit_two(train, series), rows, series)
+            cohorts[model] = predict(fit(train, series, 1 if model == "ols1" else 2), rows, series)
     return compare(cohorts, series)

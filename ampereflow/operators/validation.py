@@ -99,6 +99,11 @@ def chronology(rows: DataFrame, series: Series = LOAD, pos: str = "pos") -> Data
     return before.groupBy(*series.keys).agg(F.min(F.struct(F.col(pos).alias("pos"), kind.alias("violation"))).alias("v")).select(*series.keys, "v.pos", "v.violation")
 
 
+def entities(rows: DataFrame, series: Series = LOAD) -> DataFrame:
+    """One row: how many ``entities`` the rows belong to, and whether that is ``mixed``."""
+    return rows.select(*series.keys).distinct().agg(F.count(F.lit(1)).alias("entities")).select("entities", (F.col("entities") > 1).alias("mixed"))
+
+
 def require_one_entity(rows: DataFrame, series: Series) -> None:
     """Rows of more than one entity are refused."""
     if rows.select(*series.keys).distinct().limit(2).count() > 1:

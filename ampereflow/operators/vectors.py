@@ -241,13 +241,13 @@ def ensure_collection(spark: SparkSession, path: str, dimension: int, distance:
 PAYLOAD_KEYS = ("chunk_id", "content_sha256", "document_id", "ordinal", "page_number", "text")
 
 
-def decode_payloads(points: DataFrame, namespace: uuid.UUID) -> DataFrame:
+def decode_payloads(points: DataFrame, namespace: uuid.UUID, keep: tuple[str, ...] = ()) -> DataFrame:
     """Stored ``points (id, payload)``, payload a JSON text, as fields, with ``problem`` where one can't be trusted.
 
     ``payload`` unless it is an object of exactly the known fields; ``type`` unless ids, text and digest are
     texts that are not blank, the ordinal a whole number from 0 and the page number null or a whole
     number from 1; ``digest`` unless that has 64 hexadecimal digits; ``id`` unless it is the UUID of the
-    keys. The first of these counts. Fields of a bad payload are null.
+    keys. The first of these counts. Fields of a bad payload are null. Columns in ``keep`` stay.
     """
     tree = F.try_parse_json("payload")
     kind = lambda name: F.schema_of_variant(F.try_variant_get("__tree", f"$.{name}", "variant"))
@@ -264,7 +264,7 @@ def decode_payloads(points: DataFrame, namespace: uuid.UUID) -> DataFrame:
     problem = F.when(~exact, "payload").when(~(texts & numbers), "type").when(~text("content_sha256").rlike(r"\A[0-9a-f]{64}\z"), "digest").when(~F.coalesce(F.lower("id") == own, F.lit(False)), "id")
     rows = rows.withColumn("problem", problem)
     field = lambda value, name: F.when(F.col("problem").isNull(), value).alias(name)
-    return rows.select("id", *[field(text(n), n) for n in ("document_id", "chunk_id", "text", "content_sha256")], field(whole("ordinal").cast("int"), "ordinal"), field(whole("page_number").cast("int"), "page_number"), "problem")
+    return rows.select(*keep, "id", *[field(text(n), n) for n in ("document_id", "chunk_id", "text", "content_sha256")], field(whole("ordinal").cast("int"), "ordinal"), field(whole("page_number").cast("int"), "page_number"), "problem")
 
 
 def require_decoded(points: DataFrame, namespace: uuid.UUID) -> DataFrame:

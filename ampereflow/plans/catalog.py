@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize
 from ..functions.grid import Grid
 from ..operators import features, forecast, horizon, regression, validation, vectors
-from ..schemas import availability_holds, clearing_holds, constraint_holds, settlement_holds
+from ..schemas import availability_holds, clearing_holds, constraint_holds, dead_letter_holds, finite, settlement_holds
 from ..series import LOAD, PRICE, Series
 from ..sources import documents, store, tabular
 from .fixtures import CUTOFFS, HOUR_US, LOAD_SQL, PRICE_SQL, RAW_SQL, load_hourly, load_raw, price_daily, table
@@ -36,6 +37,14 @@ def _rounded(rows: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return rows.withColumns({n: F.round(F.col(n).cast("double"), digits) for n in names})
 
 
+def _decimals(rows: DataFrame, *names: str) -> DataFrame:
+    """Decimal results as decimals of three digits behind the point, never by way of a double."""
+    return rows.withColumns({n: F.round(F.col(n).cast("decimal(38,12)"), 3).cast("decimal(18,3)") for n in names})
+
+
+_DECIMAL_SQL = "CAST(round({0}, 3) AS DECIMAL(18,3)) AS {0}"
+
+
 # --- lag features, splits, fits, predictions, errors and comparisons, for loads and prices alike
 
 HISTORY = {LOAD: (load_hourly, LOAD_SQL), PRICE: (price_daily, PRICE_SQL)}
@@ -84,20 +93,25 @@ def _register(series: Series) -> None:
         shown = [f"lag_{h}h" for h in lags[n]] + ["target"]
         add(suffix, lambda s, d, n=n, shown=shown: _rounded(features.lag_features(history(s, d), series, lags[n]), *shown), _lag_sql(series, lags[n], rounded=True))
         add("split" if n == 1 else "split2", lambda s, d, n=n: rows(n)(s, d).groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")), f"SELECT {group}, part, count(*) AS n, min(timestamp) AS first, max(timestamp) AS last FROM ({split_sql[n]}) GROUP BY ALL")
-        fit = regression.fit_one if n == 1 else regression.fit_two
+        fit = lambda t, series=series, n=n: regression.fit(t, series, n)
         shown = ["slope", "intercept"] if n == 1 else ["b1", "b2", "intercept"]
         train = lambda s, d, n=n: rows(n)(s, d).filter("part = 'train'")
-        add(f"ols{n}", lambda s, d, fit=fit, train=train, shown=shown: _rounded(fit(train(s, d), series), *shown, digits=digits), f"SELECT {group}, n, {', '.join(f'round({c}, {digits}) AS {c}' for c in shown)}, status FROM ({fit_sql[n]})")
+        add(f"ols{n}", lambda s, d, fit=fit, train=train, shown=shown: _rounded(fit(train(s, d)), *shown, digits=digits), f"SELECT {group}, n, {', '.join(f'round({c}, {digits}) AS {c}' for c in shown)}, status FROM ({fit_sql[n]})")
         value = "slope * CAST(lag_24h AS DOUBLE) + intercept" if n == 1 else "intercept + b1 * CAST(lag_24h AS DOUBLE) + b2 * CAST(lag_168h AS DOUBLE)"
         predicted_sql = f"SELECT {', '.join('r.' + k for k in keys)}, timestamp, {value} AS predicted, CAST(target AS DOUBLE) AS actual FROM ({split_sql[n]}) r JOIN ({fit_sql[n]}) f USING ({group}) WHERE part = 'evaluation' AND status = 'ok'"
 
         def predictions(s, d, n=n, fit=fit):
             marked = rows(n)(s, d)
-            return regression.predict(fit(marked.filter("part = 'train'"), series), marked.filter("part = 'evaluation'"), series)
+            return regression.predict(fit(marked.filter("part = 'train'")), marked.filter("part = 'evaluation'"), series)
 
         add(f"pred{n}", lambda s, d, p=predictions: _rounded(p(s, d), "predicted", "actual", digits=digits), f"SELECT {group}, timestamp, round(predicted, {digits}) AS predicted, round(actual, {digits}) AS actual FROM ({predicted_sql})")
         add(f"mae{n}", lambda s, d, p=predictions: _rounded(regression.mean_absolute_error(p(s, d), series), "mae", digits=digits), f"SELECT {group}, count(*) AS n, round(avg(abs(predicted - actual)), {digits}) AS mae FROM ({predicted_sql}) GROUP BY ALL")
 
+        if series == PRICE:
+            add(f"ols{n}_dec", lambda s, d, fit=fit, train=train, shown=shown: _decimals(fit(train(s, d)), *shown), f"SELECT {group}, n, {', '.join(_DECIMAL_SQL.format(c) for c in shown)}, status FROM ({fit_sql[n]})")
+            add(f"pred{n}_dec", lambda s, d, p=predictions: _decimals(p(s, d), "predicted", "actual"), f"SELECT {group}, timestamp, {_DECIMAL_SQL.format('predicted')}, {_DECIMAL_SQL.format('actual')} FROM ({predicted_sql})")
+            add(f"mae{n}_dec", lambda s, d, p=predictions: _decimals(regression.mean_absolute_error(p(s, d), series), "mae"), f"SELECT {group}, n, {_DECIMAL_SQL.format('mae')} FROM (SELECT {group}, count(*) AS n, avg(abs(predicted - actual)) AS mae FROM ({predicted_sql}) GROUP BY ALL)")
+
     cases_sql = f"SELECT {group}, timestamp, lag_24h AS predicted, target AS actual FROM ({_lag_sql(series, (24,))})"
     add("persist_bt", lambda s, d: _rounded(features.persistence_cases(history(s, d), series), "predicted", "actual"), f"SELECT {group}, timestamp, round(CAST(predicted AS DOUBLE), 6) AS predicted, round(CAST(actual AS DOUBLE), 6) AS actual FROM ({cases_sql})")
     add("persist_mae", lambda s, d: _rounded(regression.mean_absolute_error(features.persistence_cases(history(s, d), series), series), "mae"), f"SELECT {group}, count(*) AS n, round(CAST(sum(abs(predicted - actual)) AS DOUBLE) / count(*), 6) AS mae FROM ({cases_sql}) GROUP BY ALL")
@@ -121,7 +135,7 @@ def _register(series: Series) -> None:
     add("persist_fc", lambda s, d: _rounded(forecast.persistence(targets(s, d), history(s, d), series), "predicted"), f"SELECT {', '.join('t.' + k for k in keys)}, t.timestamp, {shown.format(series.value)} AS predicted, CASE WHEN l24.timestamp IS NULL THEN 'missing' ELSE 'ok' END AS status FROM ({targets_sql}) t {at(24)}")
 
     def ols_forecast(s, d):
-        fit = regression.fit_two(rows(2)(s, d).filter("part = 'train'"), series)
+        fit = regression.fit(rows(2)(s, d).filter("part = 'train'"), series, 2)
         return _rounded(forecast.ols(targets(s, d), history(s, d), fit, series), "predicted", digits=digits)
 
     value = f"f.intercept + f.b1 * CAST(l24.{series.value} AS DOUBLE) + f.b2 * CAST(l168.{series.value} AS DOUBLE)"
@@ -136,6 +150,11 @@ for _series in (LOAD, PRICE):
 # --- series validation
 
 
+@query("check_single_entity", f"SELECT CAST(count(DISTINCT consumer_id) AS BIGINT) AS entities, count(DISTINCT consumer_id) > 1 AS mixed FROM {RAW_SQL}")
+def check_single_entity(spark, d):
+    return validation.entities(load_raw(spark, d))
+
+
 @query("grid_aligned", f"SELECT consumer_id, timestamp, (epoch_us(timestamp) % {2 * HOUR_US}) = 0 AS aligned FROM {LOAD_SQL}")
 def grid_aligned(spark, d):
     return load_hourly(spark, d).select("consumer_id", "timestamp", TWO_HOURS.aligned(F.col("timestamp")).alias("aligned"))
@@ -213,6 +232,22 @@ def norm_timestamp(spark, d):
     return table(spark, d, "events").select("event_id", normalize.timestamp_utc(text, "UTC").alias("utc"))
 
 
+@query("norm_dst", f"SELECT event_id, CASE WHEN local >= TIMESTAMP '2024-03-31 02:00:00' AND local < TIMESTAMP '2024-03-31 03:00:00' THEN NULL WHEN local >= TIMESTAMP '2024-10-27 02:00:00' AND local < TIMESTAMP '2024-10-27 03:00:00' THEN NULL WHEN local >= TIMESTAMP '2024-03-31 03:00:00' AND local < TIMESTAMP '2024-10-27 02:00:00' THEN local - INTERVAL 2 HOUR ELSE local - INTERVAL 1 HOUR END AS utc FROM (SELECT event_id, TIMESTAMP '2024-03-30 00:30:00' + INTERVAL (event_id % 5000) HOUR AS local FROM events)")
+def norm_dst(spark, d):
+    """Local times of 2024 in a zone with summer time: skipped and repeated ones are null."""
+    start = F.lit("2024-03-30 00:30:00").cast("timestamp_ntz")
+    local = start + F.make_dt_interval(hours=(F.col("event_id") % 5000).cast("int"))
+    return table(spark, d, "events").select("event_id", normalize.timestamp_utc(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), "Europe/Berlin").alias("utc"))
+
+
+@query("iso_texts", "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'run-' || event_id END AS correlation_id, NOT (event_id % 4 = 0) AS finite FROM events")
+def iso_texts(spark, d):
+    """Instants as text, well-formed correlation ids, and finite numbers."""
+    value = F.when(F.col("event_id") % 4 == 0, F.lit(float("inf"))).otherwise(F.col("event_id").cast("double"))
+    text = F.concat(F.lit("run-"), "event_id", F.when(F.col("event_id") % 3 == 0, " ").otherwise(""))
+    return table(spark, d, "events").select("event_id", normalize.utc_iso(F.date_trunc("second", "ts").cast("timestamp_ntz")).alias("iso"), normalize.correlation_id(text).alias("correlation_id"), finite(value).alias("finite"))
+
+
 @query("price_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(CAST(round(o_totalprice, 2) AS DECIMAL(18,2)) AS VARCHAR) END AS amount FROM orders")
 def price_parse(spark, d):
     text = F.concat(F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, " AMD").otherwise(""))
@@ -329,9 +364,45 @@ def vector_index_classify(spark, d):
     return vectors.classify(marked, vectors.fingerprinted(other.filter("vec_id % 3 <> 0"), "vector", "label"))
 
 
-@query("fingerprint")
+@query("fingerprint", "SELECT 'embeddings' AS document_id, CAST(vec_id AS VARCHAR) AS chunk_id, true AS digest, vec_id % 3 <> 2 AS same FROM embeddings")
 def fingerprint(spark, d):
-    return vectors.fingerprinted(_entries(spark, d), "vector", "label").select("document_id", "chunk_id", "fingerprint")
+    """Each entry's fingerprint is a digest, and equals that of a copy if and only if the contents are equal."""
+    entries = _entries(spark, d)
+    copy = entries.withColumn("label", F.when(F.col("vec_id") % 3 == 2, F.col("label") + 1).otherwise(F.col("label")))
+    both = vectors.fingerprinted(entries, "vector", "label").join(vectors.fingerprinted(copy, "vector", "label").select("chunk_id", F.col("fingerprint").alias("other")), "chunk_id")
+    return both.select("document_id", "chunk_id", F.col("fingerprint").rlike("^[0-9a-f]{64}$").alias("digest"), (F.col("fingerprint") == F.col("other")).alias("same"))
+
+
+_NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+
+
+@query("payload_decode", "SELECT vec_id, CASE WHEN vec_id % 7 = 1 THEN 'payload' WHEN vec_id % 7 = 2 THEN 'type' WHEN vec_id % 7 = 3 THEN 'digest' WHEN vec_id % 7 = 4 THEN 'id' END AS problem, CASE WHEN vec_id % 7 IN (0, 5, 6) THEN CAST(vec_id % 100 AS INTEGER) END AS ordinal, CASE WHEN vec_id % 7 IN (0, 5, 6) THEN 'chunk ' || vec_id END AS text FROM embeddings")
+def payload_decode(spark, d):
+    """Stored entries of which every seventh lacks a field, has a wrong type, a bad digest, or another entry's id."""
+    case = F.col("vec_id") % 7
+    ids = F.lit("embeddings"), F.col("vec_id").cast("string")
+    text = F.concat(F.lit("chunk "), "vec_id")
+    digest = F.when(case == 3, "none").otherwise(F.sha2(text, 256))
+    fields = [ids[0].alias("document_id"), ids[1].alias("chunk_id"), text.alias("text"), F.lit(None).cast("int").alias("page_number"), digest.alias("content_sha256")]
+    whole = F.to_json(F.struct(*fields, (F.col("vec_id") % 100).alias("ordinal")), {"ignoreNullFields": "false"})
+    odd = F.to_json(F.struct(*fields, F.lit("1").alias("ordinal")), {"ignoreNullFields": "false"})
+    payload = F.when(case == 1, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})).when(case == 2, odd).otherwise(whole)
+    place = normalize.point_uuid(_NAMESPACE, ids[0], F.when(case == 4, "other").otherwise(ids[1]))
+    points = table(spark, d, "embeddings").select("vec_id", place.alias("id"), payload.alias("payload"))
+    return vectors.decode_payloads(points, _NAMESPACE, keep=("vec_id",)).select("vec_id", "problem", "ordinal", "text")
+
+
+@query("collection_check", "SELECT n_name AS name, CASE WHEN n_nationkey % 4 = 0 THEN 'absent' WHEN n_nationkey % 4 = 1 THEN 'ready' WHEN n_nationkey % 4 = 2 THEN 'other_dimension' ELSE 'other_distance' END AS status FROM nation")
+def collection_check(spark, d):
+    rows = table(spark, d, "nation").select(F.col("n_name").alias("name"), (F.col("n_nationkey") % 4).alias("case"), F.lit(64).alias("dimension"), F.lit("cosine").alias("distance"))
+    existing = rows.filter(F.col("case") > 0).select("name", F.when(F.col("case") == 2, 32).otherwise(64).alias("dimension"), F.when(F.col("case") == 3, "dot").otherwise("cosine").alias("distance"))
+    return vectors.collection_status(rows, existing)
+
+
+@query("validate_dead_letter", "SELECT event_id, event_id % 5 <> 0 AS valid FROM events")
+def validate_dead_letter(spark, d):
+    notes = F.when(F.col("event_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("event_type"))
+    return table(spark, d, "events").select("event_id", dead_letter_holds(notes).alias("valid"))
 
 
 _DISTANCE_SQL = {

@@ -59,7 +59,7 @@ def fit(training: DataFrame, series: Series, lags: int = 1) -> DataFrame:
     inputs = ("lag_24h", "lag_168h")[:lags] + ("target",)
     if series != LOAD and not _finite(training, *inputs):
         raise InvalidRequestError("a training value is not finite")
-    found = regression.fit_one(training, series) if lags == 1 else regression.fit_two(training, series)
+    found = regression.fit(training, series, lags)  # prices in decimals
     row = found.first()
     if row.status == "singular":
         raise InvalidRequestError("the training features are singular")
@@ -83,7 +83,7 @@ def predict(fitted: DataFrame, rows: DataFrame, series: Series) -> DataFrame:
     require_chronology(rows, series)
     if series != LOAD:
         fit_is_finite()
-        if not _finite(rows, "lag_24h"):
+        if not _finite(rows, "lag_24h", *(["lag_168h"] if "b1" in fitted.columns else [])):
             raise InvalidRequestError("an input is not finite")
     found = regression.predict(fitted, rows, series)
     if not _finite(found, "predicted"):

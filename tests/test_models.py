@@ -1,4 +1,4 @@
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
 import pytest
@@ -86,7 +86,30 @@ def test_predictions_errors_and_alignment(spark):
 
 def test_price_errors_are_summed_as_decimals(spark):
     cases = spark.createDataFrame([("m", "AMD", T0, Decimal("0.10"), Decimal("0.20")), ("m", "AMD", T0 + timedelta(days=1), Decimal("0.30"), Decimal("0.10"))], "market_id string, currency string, timestamp timestamp_ntz, predicted decimal(18,2), actual decimal(18,2)")
-    assert regression.mean_absolute_error(cases, PRICE).first().mae == 0.15
+    assert regression.mean_absolute_error(cases, PRICE).first().mae == Decimal("0.15")
+
+
+def test_prices_stay_decimals(spark):
+    """Fits, predictions and errors of prices against plain decimals; doubles would differ in the last digits."""
+    rng = __import__("random").Random(5)
+    points = [(Decimal(rng.randrange(10**7)) / 100, Decimal(rng.randrange(10**7)) / 100, Decimal(rng.randrange(10**9)) / 100) for _ in range(40)]
+    rows = training(spark, [tuple(map(str, p)) for p in points], PRICE)
+    n = Decimal(40)
+    ma, my = sum(p[0] for p in points) / n, sum(p[2] for p in points) / n
+    slope = sum((p[0] - ma) * (p[2] - my) for p in points) / sum((p[0] - ma) ** 2 for p in points)
+    intercept = my - slope * ma
+    fit = regression.fit(rows, PRICE)
+    assert abs(Decimal(fit.first().slope) - slope) < Decimal("1e-20")
+    found = regression.predict(fit, rows, PRICE)
+    assert dict(found.dtypes)["predicted"] == "decimal(30,12)"
+    got = {r.actual: r.predicted for r in found.collect()}
+    assert all(abs(got[p[2]] - (intercept + slope * p[0])) < Decimal("1e-8") for p in points)
+    mae = regression.mean_absolute_error(found, PRICE).first().mae
+    assert isinstance(mae, Decimal) and abs(mae - sum(abs(intercept + slope * p[0] - p[2]) for p in points) / n) < Decimal("1e-8")
+    compared = regression.compare({"a": found, "b": found}, PRICE).first()
+    assert (compared.mae_a, compared.misaligned) == (mae, 0)
+    huge = fit.withColumn("slope", F.lit("1e30"))
+    assert regression.predict(huge, rows, PRICE).first().predicted is None  # refused by the strict form
 
 
 def test_forecasts(spark):
@@ -102,10 +125,12 @@ def test_forecasts(spark):
     sound = forecast.ols(targets, past, fit.withColumn("intercept", F.lit(20.0)), LOAD).filter("status = 'ok'").first()
     assert sound.predicted == 20 + 7 - 3 * 4
     assert forecast.ols(targets, past, fit.limit(0), LOAD).filter("status = 'unfitted'").count() == 1
-    forecast.check_request(past, targets, LOAD, {"consumer_id": "c"})
-    for bad in ((past, targets.limit(0), "c"), (past, targets, "d")):
+    now = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    forecast.check_request(past, targets, LOAD, {"consumer_id": "c"}, "run", now)
+    east = timezone(timedelta(hours=4))
+    for frame, name, run, made in ((targets.limit(0), "c", "run", now), (targets, "d", "run", now), (targets, "c", " ", now), (targets, "c", "run", now.replace(tzinfo=None)), (targets, "c", "run", now.astimezone(east)), (targets, " ", "run", now)):
         with pytest.raises(InvalidRequestError):
-            forecast.check_request(bad[0], bad[1], LOAD, {"consumer_id": bad[2]})
+            forecast.check_request(past, frame, LOAD, {"consumer_id": name}, run, made)
 
 
 def test_horizon_is_half_open_and_pushed_down(spark, tmp_path):
