@@ -1,45 +1,16 @@
-"""Helpers shared by the corpus operators: shared-folder tables, checked broadcasts, text cleaning."""
+"""Helpers shared by the corpus operators: written tables, bounded samples, text cleaning."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: ASCII white space; the same six characters as ``str.split`` uses on bytes.
-SPACE = "[\\x20\\x09-\\x0D]+"
-
+from ..shared import broadcast_within, materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+__all__ = ["SPACE", "ascii_lower", "broadcast_within", "drop_table", "labelled_sample", "materialize", "one_space", "shared_dir", "text_or_empty", "without_ids"]
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset and Spark runs in one
-    process is a temporary folder made and set instead; on a cluster that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        folder = context.getCheckpointDir()
-        if not folder:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="ampereflow-")
-            context.setCheckpointDir(folder)
-    return folder
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    The written table cuts the lineage, is computed once however often it is read, and survives the
-    loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: ASCII white space; the same six characters as ``str.split`` uses on bytes.
+SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def drop_table(df: DataFrame) -> None:
@@ -53,14 +24,6 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged for a shuffled join.
-
-    ``df`` should be a written table, so that counting costs no recomputation.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def without_ids(docs: DataFrame, losers: DataFrame, id_col: str, rows: int = 200_000) -> DataFrame:
     """``docs`` less the rows whose id is in ``losers`` (a written one-column table). Null ids stay."""
     keys = broadcast_within(losers.toDF("__loser"), rows)

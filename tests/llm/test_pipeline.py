@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from ampereflow.llm import common
 
@@ -21,3 +23,51 @@ def test_registry_names_every_operator():
 
     assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def corpus(spark, tmp_path, rows, toxic, items):
+    folder = tmp_path / "sf"
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, sha256 string, row string, digest int")
+    table.write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame(toxic, "doc_id bigint, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(folder / "benchmark.parquet"))
+    return str(folder)
+
+
+def test_planted_cases_and_edges_through_every_stage(spark, tmp_path):
+    """What each stage must drop, worked out by plain sets, among nulls, long texts, repeats and clashing columns."""
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ru", "ten") for b in ("sa", "vi", "dor", "na", "pel", "um")]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = {i: prose(60) for i in range(1, 161)}
+    rude = {i for i in texts if i % 8 == 0}
+    texts |= {i: texts[i][:150] + " you grumfling oaf " + texts[i][150:] for i in rude}
+    texts |= {201: texts[1], 202: texts[1].replace(" ", "\n", 3), 203: texts[2] + " end", 204: texts[2] + " end here", 205: None, 206: "", 207: "  ", 208: "word " * 100_000}
+    item = prose(20)
+    texts |= {301: prose(30) + " " + item + " " + prose(30), 302: " ".join(item.split()[:8]) + " " + prose(40)}
+    rows = [(i, t, "en", "s", len(t or ""), "x", "y", 1) for i, t in texts.items()] + [(3, texts[3], "en", "s", 1, "x", "y", 1), (None, texts[4], "en", "s", 1, "x", "y", 1), (None, None, None, None, None, None, None, None)]
+    folder = corpus(spark, tmp_path, rows, [(i, 1, int(i in rude)) for i in range(1, 161) if i % 8 != 4], [(1, item), (2, None), (3, "")])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    ids = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, folder), name)
+        assert docs.columns == spark.read.parquet(f"{folder}/documents.parquet").columns
+        ids[name] = sorted(r.doc_id or 0 for r in docs.select("doc_id").collect())
+    every = sorted((r[0] or 0) for r in rows)
+    gone = lambda before, after: set(before) - set(after)
+    assert gone(every, ids["toxicity"]) == rude
+    assert gone(ids["toxicity"], ids["exact_dedup"]) == {0, 201, 202, 206} and ids["exact_dedup"].count(3) == 2  # both rows without id equal others; 207 is one space
+    sets = {i: {tuple((texts[i] or "").split()[k : k + 5]) for k in range(max(1, len((texts[i] or "").split()) - 4))} for i in set(ids["exact_dedup"]) - {0}}
+    alike = {max(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])}
+    assert gone(ids["exact_dedup"], ids["near_dedup"]) == alike and {203, 204, 207} <= alike
+    assert gone(ids["near_dedup"], ids["decontamination"]) == {301}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert {r.doc_id or 0 for r in packed} == set(ids["decontamination"]) and sum(r.piece == 0 for r in packed) == len(ids["decontamination"])
+    assert [tuple(r) for r in corpus_pipeline.run(spark, folder).select("doc_id", "piece", "ids_crc32").orderBy("doc_id", "piece", "ids_crc32").collect()] == sorted(((r.doc_id, r.piece, r.ids_crc32) for r in packed), key=lambda r: (r[0] is not None, *(x or 0 for x in r)))
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    folder = corpus(spark, tmp_path, [], [], [])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() == 0
