@@ -57,7 +57,8 @@ def test_planted_cases_and_edges_through_every_stage(spark, tmp_path):
     gone = lambda before, after: set(before) - set(after)
     assert gone(every, ids["toxicity"]) == rude
     assert gone(ids["toxicity"], ids["exact_dedup"]) == {0, 201, 202, 206} and ids["exact_dedup"].count(3) == 2  # both rows without id equal others; 207 is one space
-    sets = {i: {tuple((texts[i] or "").split()[k : k + 5]) for k in range(max(1, len((texts[i] or "").split()) - 4))} for i in set(ids["exact_dedup"]) - {0}}
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    sets = {i: shingles((texts[i] or "").split()) for i in set(ids["exact_dedup"]) - {0}}
     alike = {max(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])}
     assert gone(ids["exact_dedup"], ids["near_dedup"]) == alike and {203, 204, 207} <= alike
     assert gone(ids["near_dedup"], ids["decontamination"]) == {301}
