@@ -34,8 +34,11 @@ def _positions() -> Column:
 
 
 def shingle_texts() -> Column:
-    """Distinct shingles of ``__w`` as texts; fewer than five words make one shingle, none make none."""
-    return F.when(F.size("__w") > 0, F.array_distinct(F.transform(_positions(), lambda i: F.array_join(F.slice("__w", i + 1, WORDS), " ")))).otherwise(F.array().cast("array<string>"))
+    """Distinct shingles of ``__w`` as texts; fewer than five words make one shingle, none make none.
+
+    Words are taken one by one, as a slice would copy all words of the text for each shingle.
+    """
+    return F.when(F.size("__w") > 0, F.array_distinct(F.transform(_positions(), lambda i: F.concat_ws(" ", *[F.get("__w", i + j) for j in range(WORDS)])))).otherwise(F.array().cast("array<string>"))
 
 
 def shingle_hashes() -> Column:
