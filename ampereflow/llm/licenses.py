@@ -34,7 +34,7 @@ def _lines(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def document_frequencies(lines: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
     """In how many of all lines each word of the templates occurs, and the number of lines."""
-    words = F.array_intersect(tokens(F.col("__s")), F.array(*map(F.lit, vocabulary)))
+    words = F.array_distinct(F.filter(tokens(F.col("__s")), lambda w: w.isin(vocabulary)))
     rows = lines.select(F.explode(F.concat(words, F.array(F.lit("")))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a word
     counts = {r.t: r.n for r in rows}
     return {w: counts.get(w, 0) for w in vocabulary}, counts.get("", 0)
@@ -92,8 +92,8 @@ def match_units(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     vocabulary = sorted({w for words in template_words(templates) for w in words})
     counts, total = document_frequencies(lines, vocabulary)
     idf, vectors = template_weights(templates, counts, total)
-    deciding = F.array(*map(F.lit, deciding_words(vectors, threshold)))
-    likely = _units(files, id_col, text_col).withColumn("__w", tokens(F.col("__s"))).filter(F.arrays_overlap("__w", deciding))
+    deciding = deciding_words(vectors, threshold)
+    likely = _units(files, id_col, text_col).withColumn("__w", tokens(F.col("__s"))).filter(F.exists("__w", lambda w: w.isin(deciding)))
     terms = likely.select("__id", "__unit", F.explode("__w").alias("__t")).groupBy("__id", "__unit", "__t").agg(F.count(F.lit(1)).alias("tf"))
     weights = spark.createDataFrame([(w, x) for w, x in idf.items()], "t string, idf double")
     parts = spark.createDataFrame([(w, [(i, v[w]) for i, v in enumerate(vectors) if w in v]) for w in vocabulary], "v string, parts array<struct<i:int,x:double>>")
