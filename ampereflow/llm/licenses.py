@@ -72,6 +72,24 @@ def deciding_words(vectors: list[dict[str, float]], threshold: float) -> list[st
     return sorted(chosen)
 
 
+def reachable(words: Column, known: Column, vectors: list[dict[str, float]], idf: dict[str, float], unseen: float, threshold: float) -> Column:
+    """Whether a unit of ``words``, of which ``known`` are in templates, can reach the threshold, told from its row alone.
+
+    Its product with any template is at most the sum, over its words, of their weight times the largest
+    share that a template gives them; its length is at least that of its words of no template, of which
+    each weighs ``unseen`` or more. A unit with words of its own in plenty is told apart by that.
+    """
+    most = {w: x * max((v.get(w, 0.0) for v in vectors), default=0.0) for w, x in idf.items()}
+    gains = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])
+    product = F.aggregate(known, F.lit(0.0), lambda total, w: total + F.element_at(gains, w))
+    return product >= (threshold - 1e-6) * unseen * F.sqrt(F.size(words) - F.size(known))
+
+
+def _once(value: Column) -> Column:
+    """``value`` computed once a row, however often it is used: a generated column is never put in place of its uses."""
+    return F.explode(F.array(value))
+
+
 def _units(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``__id, __unit, __s``: the lines, the blocks and the whole of each file with an id."""
     text = text_or_empty(text_col)
@@ -83,8 +101,8 @@ def match_units(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """``(id, license, cosine, words)``: each file's best unit that reaches ``threshold`` with a template.
 
     A unit's vector is its word counts times inverse document frequencies taken over all lines of all
-    files; a word of no template weighs as one that no line has. Only units with a deciding word are
-    weighed, and no unit that reaches the threshold is left out. Ties: the greater name, then the longer
+    files; a word of no template weighs as one that no line has. Only units with a deciding word that are
+    ``reachable`` are weighed, and no unit that reaches the threshold is left out. Ties: the greater name, then the longer
     unit. ``words`` is the number of words of the unit. Texts of any length are compared whole.
     """
     spark = files.sparkSession
@@ -93,14 +111,16 @@ def match_units(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     counts, total = document_frequencies(lines, vocabulary)
     idf, vectors = template_weights(templates, counts, total)
     deciding = deciding_words(vectors, threshold)
-    likely = _units(files, id_col, text_col).withColumn("__w", tokens(F.col("__s"))).filter(F.exists("__w", lambda w: w.isin(deciding)))
+    unseen = math.log(1 + total) + 1
+    worded = _units(files, id_col, text_col).select("__id", "__unit", _once(tokens(F.col("__s"))).alias("__w")).filter(F.exists("__w", lambda w: w.isin(deciding)))
+    worded = worded.select("*", _once(F.filter("__w", lambda w: w.isin(vocabulary))).alias("__known"))
+    likely = worded.filter(reachable(F.col("__w"), F.col("__known"), vectors, idf, unseen, threshold))
     terms = likely.select("__id", "__unit", F.explode("__w").alias("__t")).groupBy("__id", "__unit", "__t").agg(F.count(F.lit(1)).alias("tf"))
     weights = spark.createDataFrame([(w, x) for w, x in idf.items()], "t string, idf double")
     parts = spark.createDataFrame([(w, [(i, v[w]) for i, v in enumerate(vectors) if w in v]) for w in vocabulary], "v string, parts array<struct<i:int,x:double>>")
     names = F.array(*[F.lit(name) for name, _ in templates])
-    unseen = F.lit(math.log(1 + total) + 1)
     known = terms.join(F.broadcast(weights), F.col("__t") == F.col("t"), "left").join(F.broadcast(parts), F.col("__t") == F.col("v"), "left")  # a few words of the templates
-    weight = F.col("tf") * F.coalesce("idf", unseen)
+    weight = F.col("tf") * F.coalesce("idf", F.lit(unseen))
     weighed = materialize(known.select("__id", "__unit", "tf", weight.alias("w"), "parts"), "weighed")
     norms = weighed.groupBy("__id", "__unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("words"))
     dots = weighed.select("__id", "__unit", "w", F.explode("parts").alias("p")).groupBy("__id", "__unit", F.col("p.i").alias("i")).agg(F.sum(F.col("w") * F.col("p.x")).alias("dot"))
