@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language, licenses, pack, pii, quality, simhash, toxicity, url_filter
+from . import align, codes, decontaminate, embed_dedup, exact_dedup, language, licenses, pack, pii, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_licenses": licenses.op10_licenses,
+    "op11_align": align.op11_align,
+    "op12_embedding_dedup": embed_dedup.op12_embedding_dedup,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
 ORACLES = {
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op10_licenses": licenses.OP10_SQL,
+    "op12_embedding_dedup": embed_dedup.OP12_SQL,
+    "op13_vector_codes": codes.OP13_SQL,
 }

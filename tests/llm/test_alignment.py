@@ -1,0 +1,161 @@
+"""Tokenizer alignment against a brute-force version token by token."""
+
+import hashlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from ampereflow.llm import align
+from ampereflow.llm.common import materialize
+
+SCHEMA = "doc_id bigint, text string, row string, pairs int, groups string"
+ODD = [
+    None, "", " ", "  ", "\n", "a", " a", "a ", "a b", "a  b", "a\nb", "a \nb", "a\n\nb", "tab\there", "no break", "é", "日本語 テキスト", "🙂 ok 🙂🙂", "x▁y", "▁", "nul\x00nul",
+    "<|endoftext|>", "a <|endoftext|> b", "<s> </s> <unk>", "don't we'll", "12345 67.89 1,000", "http://example.org/a?b=c", "\x85\x1c\x1d", "　wide", "\r\nline\r\n", "İ ́x", "x" * 5000, "word " * 3000,
+]
+
+
+@pytest.fixture(scope="module")
+def vocabularies():
+    return align.registered_vocabularies()
+
+
+class Brute:
+    def __init__(self):
+        import public_tokenizers
+        import sentencepiece
+        from tokenizers import Tokenizer
+
+        self.a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [x for x in range(256) if x not in printable]
+        self.byte = {chr(x): x for x in printable} | {chr(256 + k): x for k, x in enumerate(rest)}
+
+    def tokens(self, text):
+        ids = self.a.encode(" " + text, add_special_tokens=False).ids
+        a = [(i, bytes(self.byte[c] for c in self.a.id_to_token(i))) for i in ids]
+        b = []
+        for i in self.b.encode(text):
+            piece = self.b.id_to_piece(i)
+            b.append((i, bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()))
+        whole = (" " + text).encode()
+        same = b"".join(x for _, x in a) == whole == b"".join(x for _, x in b)
+        return (a, b) if text and same else ([], [])
+
+    def links(self, a, b):
+        spans, at = [], 0
+        for i, data in b:
+            spans.append((i, at, at + len(data)))
+            at += len(data)
+        out, at, low = [], 0, 0
+        for i, data in a:
+            end = at + len(data)
+            while low < len(spans) and spans[low][2] <= at:
+                low += 1
+            k = low
+            while k < len(spans) and spans[k][1] < end:
+                out.append((i, spans[k][0]))
+                k += 1
+            at = end
+        return out
+
+    def groups(self, a, b):
+        out, i, j, at, bt, left, right = [], 0, 0, 0, 0, [], []
+        while i < len(a) or j < len(b):
+            if at <= bt:
+                left.append(str(a[i][0]))
+                at += len(a[i][1])
+                i += 1
+            else:
+                right.append(str(b[j][0]))
+                bt += len(b[j][1])
+                j += 1
+            if at == bt:
+                out.append(",".join(left) + "|" + ",".join(right))
+                left, right = [], []
+        return out
+
+    def all(self, texts):
+        found = [self.tokens(t or "") for t in texts]
+        linked = [self.links(*x) for x in found]
+        counts = Counter(p for x in linked for p in x)
+        best = {}
+        for (_, j), n in counts.items():
+            best[j] = max(best.get(j, 0), n)
+        rows = []
+        for (a, b), pairs in zip(found, linked):
+            groups = self.groups(a, b)
+            digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
+            rows.append((len(a), len(b), len(groups), len(pairs), sum(counts[p] == best[p[1]] for p in pairs), sum(counts[p] for p in pairs), digest))
+        return rows
+
+
+def documents(spark, texts):
+    return spark.createDataFrame([(None if t == "a" else i, t, "r", 1, "g") for i, t in enumerate(texts)], SCHEMA)
+
+
+def query(docs, vocabularies, broadcast_rows):
+    aligned = align.align(docs, *vocabularies)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("sha")
+    rows = materialize(aligned.select(F.monotonically_increasing_id().alias("row"), "id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "pair_links"), "aligned")
+    return align.score(rows, align.lexicon(rows), broadcast_rows)
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_matches_brute_force(spark, vocabularies, broadcast_rows):
+    source = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect()]
+    texts = [*ODD, *source, source[0]]
+    found = query(documents(spark, texts), vocabularies, broadcast_rows).collect()
+    expected = [(None if t == "a" else i, *row) for (i, t), row in zip(enumerate(texts), Brute().all(texts))]
+    assert sorted(((r.id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.sha) for r in found), key=str) == sorted(expected, key=str)
+
+
+def test_registered_query(spark, vocabularies):
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    found = align.op11_align(spark, "/root/testdata/sf0.001").orderBy("doc_id").collect()
+    assert found and [tuple(r) for r in found] == [(t.doc_id, *row) for t, row in zip(texts, Brute().all([t.text for t in texts]))]
+
+
+def test_windows_of_long_texts(vocabularies, monkeypatch):
+    import random
+
+    monkeypatch.setattr(align, "WINDOW", 300)
+    rng = random.Random(3)
+    text = "".join(rng.choice(["a", "be ", "sea\n", " d", "  ", "é", "1", ". "]) for _ in range(4000))
+    parts = align.windows(text)
+    assert len(parts) > 5 and " ".join(parts) == text
+    columns = align.Pair(*vocabularies).rows([text, "", "one", text + " ▁", None or "two words"])
+    expected = Brute().all([text])[0]
+    assert (columns[0][0], columns[1][0], columns[2][0], columns[3][0]) == expected[:4]
+    assert hashlib.sha256(columns[4][0].encode()).hexdigest() == expected[6]
+    assert [c[3] for c in columns[:5]] == [0, 0, 0, 0, ""] and len(columns[5][3]) == 0
+    assert columns[6][0].sum() == expected[3]
+
+
+def test_very_long_text_takes_linear_time(vocabularies):
+    import time
+
+    pair = align.Pair(*vocabularies)
+    words = " ".join(f"w{i % 977} {i}" for i in range(60_000))
+    times = []
+    for k in (1, 4):
+        began = time.time()
+        n_a = pair.rows([" ".join([words] * k)])[0][0]
+        times.append((time.time() - began) / k)
+    assert n_a > 4 * 60_000 and times[1] < 4 * times[0]
+
+
+def test_a_memory_that_fills_is_emptied(vocabularies, monkeypatch):
+    pair = align.Pair(*vocabularies)
+    before = pair.rows(["one two three", "four five"])
+    monkeypatch.setattr(align, "KNOWN", 2)
+    monkeypatch.setattr(align, "TOGETHER", 2)
+    again = pair.rows(["one two three", "four five"])
+    assert before[:5] == again[:5]
+
+
+def test_empty_table(spark, vocabularies):
+    assert query(documents(spark, []), vocabularies, 10).count() == 0
