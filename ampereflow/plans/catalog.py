@@ -14,6 +14,7 @@ from ..operators import features, forecast, horizon, regression, validation, vec
 from ..schemas import availability_holds, clearing_holds, constraint_holds, dead_letter_holds, finite, settlement_holds
 from ..series import LOAD, PRICE, Series
 from ..sources import documents, store, tabular
+from . import source_queries
 from .fixtures import CUTOFFS, HOUR_US, LOAD_SQL, PRICE_SQL, RAW_SQL, load_hourly, load_raw, price_daily, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -439,3 +440,6 @@ def _knn_batch(distance: str) -> None:
 for _distance in vectors.DISTANCES:
     _knn(_distance)
     _knn_batch(_distance)
+
+QUERIES |= source_queries.QUERIES
+ORACLES |= source_queries.ORACLES

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DependencyUnavailableError, InvalidRequestError
 from ..functions.grid import Grid
 from ..functions.normalize import power_mw, timestamp_utc, zone
 from ..operators.validation import gaps, issues
-from ..schemas import BLANK, stripped
+from ..schemas import stripped
+from . import csv_records
 from .headers import Resolution, Resolver, consumption_fields, diagnostics, require_consumption_fields, safe_units
 
 DIAGNOSTIC_SCHEMA = "code string, message string, severity string, field_name string"
@@ -28,36 +29,20 @@ class Ingested:
     schema: Resolution | None = None
 
 
-def read_csv(spark: SparkSession, path: str, header_row: bool = True) -> tuple[list[str], DataFrame]:
-    """Header cells, and ``(pos, cells)`` of the data rows.
+def read_csv(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """Header cells, and ``(pos, cells)`` of the data rows before the first error."""
+    return read_broken_csv(spark, path)[:2]
+
+
+def read_broken_csv(spark: SparkSession, path: str) -> tuple[list[str], DataFrame, DataFrame]:
+    """Header cells, ``(pos, cells)`` of the data rows, and ``(code)`` of what broke the file, if anything did.
 
     ``pos`` is the logical row, the header being 1; blank rows are neither kept nor counted. The file is
-    split and parsed by Spark; rows are numbered by adding each part's offset to its own numbering, so no
-    task sees the whole file. Quoted cells must not contain line breaks.
+    split and parsed by Spark (:mod:`csv_records`), so no task sees the whole file.
     """
-    try:
-        lines = spark.read.text(path)
-        raw = lines.select(F.regexp_replace("value", "^﻿", "").alias("line"), F.monotonically_increasing_id().alias("id"))
-        full = raw.filter(~F.col("line").rlike(f"^(,|\"|{BLANK})*$"))
-        first = full.orderBy("id").limit(1).collect()
-    except Exception as error:  # the path is unreadable
-        raise DependencyUnavailableError("the source can't be read") from error
-    if not first:
-        return [], spark.createDataFrame([], "pos bigint, cells array<string>")
-    cells = lambda line: F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda c: F.when(c.startswith('"'), F.regexp_replace(c.substr(F.lit(2), F.length(c) - 2), '""', '"')).otherwise(c))
-    header = spark.createDataFrame([(first[0].line,)], "line string").select(cells(F.col("line")).alias("c")).first().c
-    data = full.filter(F.col("id") > first[0].id)
-    part = F.shiftright("id", 33)
-    sizes = data.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    before = {}
-    total = 2
-    for row in sizes.orderBy("part").collect():  # one row for each part of the file
-        before[row.part] = total
-        total += row.n
-    offsets = spark.createDataFrame(list(before.items()) or [(0, 2)], "part bigint, first bigint")
-    here = F.row_number().over(Window.partitionBy("part").orderBy("id"))
-    numbered = data.withColumn("part", part).join(F.broadcast(offsets), "part").select((F.col("first") + here - 1).alias("pos"), cells(F.col("line")).alias("cells"))
-    return header, numbered
+    found = csv_records.read_records(spark, path)
+    first = found.rows.filter("pos = 1").limit(1).collect()
+    return list(first[0].cells) if first else [], found.rows.filter("pos > 1").select("pos", "cells"), found.errors.select("code")
 
 
 def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> tuple[list[str], DataFrame]:
@@ -103,29 +88,38 @@ def route(rows: DataFrame, width: int, columns: dict[str, int], unit: str = "MW"
     return rows.select("pos", "consumer_id", "timestamp", "value_mw", code.alias("code"))
 
 
-def ingest(spark: SparkSession, header: list[str], rows: DataFrame, source: str, scheme: str = "csv", unit: str = "MW", source_zone: str | None = None, grid: Grid | None = None, resolver: Resolver | None = None) -> Ingested:
+def ingest(spark: SparkSession, header: list[str], rows: DataFrame, source: str, scheme: str = "csv", broken: DataFrame | None = None, unit: str = "MW", source_zone: str | None = None, grid: Grid | None = None, resolver: Resolver | None = None) -> Ingested:
     """Records, diagnostics and dead letters of a file's header and rows.
 
     A header that can't be resolved gives one dead letter and no rows. Rows are converted one by one;
     duplicates and, with a ``grid``, rows off it are rejected; gaps among the survivors are diagnosed
-    without a dead letter. Messages are constant and quote no cell.
+    without a dead letter. ``broken`` holds the codes of errors that ended the source early: each gives a
+    diagnostic and a dead letter of the source, and rows before it are treated as usual. Messages are
+    constant and quote no cell.
     """
     zone(source_zone)
     resolver = resolver or Resolver(consumption_fields(unit))
     require_consumption_fields(resolver.fields)
     found = safe_units(resolver, resolver.resolve(header), unit)
+    broken = spark.createDataFrame([], "code string") if broken is None else broken
+    error = lambda rows, field=None: rows.select("code", F.translate("code", "_", " ").alias("message"), F.lit("error").alias("severity"), F.lit(field).cast("string").alias("field_name"))
+    of_source = broken.select(F.lit(f"{source}:source").alias("record_id"), F.lit(source).alias("source_name"), F.lit(scheme).alias("adapter_name"), "code", F.lit(f"{scheme}://{source}/source").alias("payload_reference"))
     notes = [(d["code"], d["code"].replace("_", " "), d["severity"], d["field_name"]) for d in diagnostics(found)]
     noted = spark.createDataFrame(notes, DIAGNOSTIC_SCHEMA)
+    nothing = spark.createDataFrame([], "pos bigint, consumer_id string, timestamp timestamp_ntz, value_mw double")
+    if not header and not rows.limit(1).count() and broken.limit(1).count():
+        return Ingested(nothing, error(broken), of_source, None)  # the source broke before its header
     if not found.usable:
         letter = [(f"{source}:schema", source, scheme, "schema_invalid", f"{scheme}://{source}/header")]
-        return Ingested(spark.createDataFrame([], "consumer_id string, timestamp timestamp_ntz, value_mw double"), noted, spark.createDataFrame(letter, LETTER_SCHEMA), found)
+        return Ingested(nothing, noted, spark.createDataFrame(letter, LETTER_SCHEMA), found)
     routed = route(rows, len(header), found.columns(), unit, source_zone, longer_ok=scheme == "excel")
     judged = issues(routed.filter("code is null").drop("code"), grid)
     bad = routed.filter("code is not null").select("pos", "code").unionByName(judged.filter("issue is not null").select("pos", F.concat(F.lit("series_"), "issue").alias("code")))
     pos = F.col("pos").cast("string")
     letters = bad.select(F.concat(F.lit(f"{source}:row:"), pos).alias("record_id"), F.lit(source).alias("source_name"), F.lit(scheme).alias("adapter_name"), "code", F.concat(F.lit(f"{scheme}://{source}/row/"), pos).alias("payload_reference"))
     records = judged.filter("issue is null").select("pos", "consumer_id", "timestamp", "value_mw")
-    noted = noted.unionByName(bad.select("code", F.translate("code", "_", " ").alias("message"), F.lit("error").alias("severity"), F.lit(None).cast("string").alias("field_name")))
+    letters = letters.unionByName(of_source)
+    noted = noted.unionByName(error(bad)).unionByName(error(broken))
     if grid:
         missing = gaps(records, grid)
         noted = noted.unionByName(missing.select(F.lit("series_gap").alias("code"), "message", F.lit("error").alias("severity"), F.lit("timestamp").alias("field_name")))
@@ -133,7 +127,8 @@ def ingest(spark: SparkSession, header: list[str], rows: DataFrame, source: str,
 
 
 def ingest_csv(spark: SparkSession, path: str, source: str, **options) -> Ingested:
-    return ingest(spark, *read_csv(spark, path), source, "csv", **options)
+    header, rows, broken = read_broken_csv(spark, path)
+    return ingest(spark, header, rows, source, "csv", broken=broken, **options)
 
 
 def ingest_xlsx(spark: SparkSession, path: str, source: str, sheet: str | None = None, **options) -> Ingested:
