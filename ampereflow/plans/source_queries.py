@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import shared_dir
-from ..sources import csv_records
+from ..sources import csv_records, header_join
 from .fixtures import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,44 @@ def broken_csv(spark, d):
     kept = found.rows.groupBy(number(F.col("file")).alias("file")).agg(F.count(F.lit(1)).alias("kept"), F.max(F.col("cells")[0].cast("bigint")).alias("last_kept"))
     errors = found.errors.select(number(F.col("file")).alias("__file"), "code", "pos")
     return kept.join(errors, F.col("file") == F.col("__file"), "left").drop("__file")
+
+
+_KEY_SQL = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+#: The longest block that both texts have, the first in either if there are several.
+_BLOCK_SQL = (
+    "list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(b) + 1), lambda j: "
+    "{'k': len(list_filter(range(1, least(length(a) - i, length(b) - j) + 2), lambda k: substr(a, i, k) = substr(b, j, k))), 'i': -i, 'j': -j}))))"
+)
+_HEADER_SQL = f"""
+WITH RECURSIVE headers AS (
+    SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN substr(n_name, 1, p - 1) || substr(n_name, p + 1) WHEN 1 THEN replace(n_name, ' ', '__') || ' ' ELSE substr(n_name, 1, p) || 'x' || substr(n_name, p + 1) END AS header
+    FROM (SELECT s_suppkey, n_name, CAST(s_suppkey // 3 % length(n_name) + 1 AS INTEGER) AS p FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+), keyed AS (SELECT s_suppkey, {_KEY_SQL.format("header")} AS key FROM headers), names AS (SELECT n_name AS field, {_KEY_SQL.format("n_name")} AS name FROM nation),
+segments AS (
+    SELECT key, name, key AS a, name AS b, 0 AS depth FROM (SELECT DISTINCT key FROM keyed) CROSS JOIN names
+    UNION ALL
+    SELECT key, name, piece[1] AS a, piece[2] AS b, depth + 1 FROM (
+        SELECT key, name, depth, unnest([[substr(a, 1, CAST(-block.i - 1 AS INTEGER)), substr(b, 1, CAST(-block.j - 1 AS INTEGER))], [substr(a, CAST(-block.i + block.k AS INTEGER)), substr(b, CAST(-block.j + block.k AS INTEGER))]]) AS piece
+        FROM (SELECT *, {_BLOCK_SQL} AS block FROM segments WHERE length(a) > 0 AND length(b) > 0) WHERE block.k > 0)
+    WHERE length(piece[1]) > 0 AND length(piece[2]) > 0
+), scored AS (
+    SELECT key, field, 2.0::DOUBLE * sum(({_BLOCK_SQL}).k) / any_value(length(key) + length(segments.name)) AS ratio FROM segments JOIN names ON segments.name = names.name GROUP BY key, field
+), ranked AS (SELECT key, field, ratio, row_number() OVER (PARTITION BY key ORDER BY ratio DESC, field) AS r, lead(ratio) OVER (PARTITION BY key ORDER BY ratio DESC, field) AS next FROM scored WHERE ratio >= 0.85),
+answers AS (SELECT keyed.s_suppkey, CASE WHEN names.field IS NOT NULL THEN 'exact' WHEN ratio IS NULL THEN 'unresolved' WHEN ratio - next < 0.05 THEN 'ambiguous' ELSE 'fuzzy' END AS status, names.field AS exact, ranked.field AS fuzzy, ratio
+    FROM keyed LEFT JOIN names ON key = name LEFT JOIN ranked ON keyed.key = ranked.key AND r = 1)
+SELECT s_suppkey, status, CASE status WHEN 'exact' THEN exact WHEN 'fuzzy' THEN fuzzy END AS field, round(CASE WHEN status = 'exact' THEN 1.0 ELSE coalesce(ratio, 0.0) END, 9) AS confidence FROM answers"""
+
+
+@query("header_resolve", _HEADER_SQL)
+def header_resolve(spark, d):
+    """Nations' names with a character less, one more, or other separators, one for each supplier, resolved to nations."""
+    nation = table(spark, d, "nation")
+    suppliers = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    place = (F.floor(F.col("s_suppkey") / 3) % F.length("n_name") + 1).cast("int")
+    part = lambda start, length=None: F.substr("n_name", start, length) if length is not None else F.substr("n_name", start)
+    less, more = F.concat(part(F.lit(1), place - 1), part(place + 1)), F.concat(part(F.lit(1), place), F.lit("x"), part(place + 1))
+    case = F.col("s_suppkey") % 3
+    header = F.when(case == 0, less).when(case == 1, F.concat(F.replace("n_name", F.lit(" "), F.lit("__")), F.lit(" "))).otherwise(more)
+    names = nation.select(F.col("n_name").alias("field"), F.col("n_name").alias("name"))
+    found = header_join.resolve(suppliers.select("s_suppkey", header.alias("header")), names)
+    return found.select("s_suppkey", "status", "field", F.round("confidence", 9).alias("confidence"))
