@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from datetime import timedelta
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import InvalidRequestError
 from ..schemas import non_negative, stripped
+from .zones import local_to_utc
 
 #: Digits with an optional sign, point and exponent; no type suffixes, underscores or names of infinities.
 NUMBER = r"\A[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
@@ -67,12 +65,7 @@ def zone(name: str | None) -> str | None:
     return name
 
 
-def _plain(value: Column, build) -> Column:
-    """``build(value)`` without a lambda, for what goes into a Python function; Spark finds the repeats itself."""
-    return build(value)
-
-
-def _parts(text: Column, bound=bound) -> Column:
+def _parts(text: Column) -> Column:
     """``date and hour, minute, second, fraction, zone`` of a stamp in one match; null for other texts.
 
     Stamps are told by the mark that the replacement puts before them, which no stamp contains.
@@ -90,28 +83,6 @@ def _instants(parts: Column) -> Column:
     return F.struct(aware.alias("aware"), F.when(zone == "", local.try_cast("timestamp_ntz")).alias("naive"))
 
 
-def _localize(local: pa.Array, zones: pa.Array) -> pa.Array:
-    """UTC of local times that exist exactly once in their zone; null for others."""
-    out, cache = [], {}
-    for value, name in zip(local.to_pylist(), zones.to_pylist()):
-        if value is None or name is None:
-            out.append(None)
-            continue
-        place = cache.setdefault(name, ZoneInfo(name))
-        first, second = (value.replace(tzinfo=place, fold=f).utcoffset() for f in (0, 1))
-        utc = value - (first or timedelta())
-        out.append(utc if first == second else None)
-    return pa.array(out, pa.timestamp("us"))
-
-
-def local_to_utc(local: Column, name: str) -> Column:
-    """UTC of zone-less times; null where the local time is skipped or happens twice.
-
-    A time before or after a change of offset is told by its two readings, so shifts of any length are found.
-    """
-    return F.arrow_udf(_localize, T.TimestampNTZType())(local, F.lit(name))
-
-
 def timestamp_utc(text: Column, source_zone: str | None = None) -> Column:
     """TIMESTAMP_NTZ in UTC from ISO text with an offset, or without one if ``source_zone`` is given.
 
@@ -121,8 +92,8 @@ def timestamp_utc(text: Column, source_zone: str | None = None) -> Column:
         return bound(_parts(text), lambda p: _instants(p)["aware"])
     if source_zone == "UTC":
         return bound(_parts(text), lambda p: bound(_instants(p), lambda i: F.coalesce(i["aware"], i["naive"])))
-    found = _instants(_parts(text, _plain))
-    return F.coalesce(found["aware"], local_to_utc(found["naive"], zone(source_zone)))
+    place = zone(source_zone)
+    return bound(_parts(text), lambda p: bound(_instants(p), lambda i: F.coalesce(i["aware"], local_to_utc(i["naive"], place))))
 
 
 def utc_iso(time: Column) -> Column:

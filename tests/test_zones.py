@@ -1,0 +1,50 @@
+"""Local times by the table of periods, against the zone library."""
+
+import random
+from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo
+
+from pyspark.sql import functions as F
+
+from ampereflow.functions import normalize, zones
+
+NAMES = ["Europe/Berlin", "America/New_York", "Asia/Yerevan", "Australia/Lord_Howe", "Pacific/Apia", "Africa/Casablanca", "Asia/Kathmandu", "America/St_Johns", "Europe/Dublin", "UTC"]
+
+
+def expected(local, name):
+    place = ZoneInfo(name)
+    first, second = (local.replace(tzinfo=place, fold=f).utcoffset() for f in (0, 1))
+    return local - first if first == second else None
+
+
+def times(rng, name, count=250):
+    out = [datetime(1850, 1, 1) + timedelta(seconds=rng.randrange(400 * 31_556_952)) for _ in range(count)]
+    changes = [p for p in zones.periods(name) if p[0] is not None]
+    for first, _, offset in rng.sample(changes, min(len(changes), 60)):
+        out += [datetime(1970, 1, 1) + timedelta(seconds=first + offset + rng.randint(-8000, 8000), microseconds=rng.randrange(10**6)) for _ in range(6)]
+        out += [datetime(1970, 1, 1) + timedelta(seconds=first + o, microseconds=m) for o in (offset, offset - 3600, offset + 3600, offset - 1) for m in (0, 999_999)]
+    return out + [datetime(1, 1, 3), datetime(1799, 12, 31, 23), datetime(2011, 12, 30, 12), datetime(2400, 3, 26, 2, 30), datetime(2500, 7, 1), datetime(3000, 10, 26, 2, 30), datetime(2899, 12, 31, 23, 59), datetime(9998, 6, 1)]
+
+
+def test_ten_zones_equal_the_library(spark):
+    rng = random.Random(1)
+    rows = [(n, t) for n in NAMES for t in times(rng, n)]
+    frame = spark.createDataFrame(rows, "zone string, local timestamp_ntz")
+    got = zones.localize(frame, zones.zone_table(spark, NAMES)).collect()
+    wrong = [(r.zone, r.local, r.utc) for r in got if r.utc != expected(r.local, r.zone)]
+    assert len(got) == len(rows) and not wrong, wrong[:5]
+    assert sum(r.utc is None for r in got) > 50
+    one = frame.filter("zone = 'Australia/Lord_Howe'").withColumn("utc", zones.local_to_utc(F.col("local"), "Australia/Lord_Howe"))
+    assert all(r.utc == expected(r.local, r.zone) for r in one.collect())
+
+
+def test_no_python_in_the_plan(spark):
+    frame = spark.createDataFrame([("2026-03-29T02:30:00", "x")], "text string, zone string").repartition(2)
+    shown = frame.select(normalize.timestamp_utc(F.col("text"), "Europe/Berlin").alias("t"))
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and shown.first().t is None
+
+
+def test_unknown_and_null(spark):
+    frame = spark.createDataFrame([("No/Where", datetime(2020, 1, 1)), (None, datetime(2020, 1, 1)), ("UTC", None)], "zone string, local timestamp_ntz")
+    assert [r.utc for r in zones.localize(frame, zones.zone_table(spark, ["UTC"])).collect()] == [None] * 3
