@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from itertools import islice
-from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +13,7 @@ from ..errors import ConflictError, DependencyUnavailableError, InvalidRequestEr
 from ..functions.normalize import point_uuid
 from ..schemas import stripped
 from ..schemas import vector as is_vector
-from ..shared import broadcast_within, materialize
+from ..shared import batches, broadcast_within, exists, materialize, publish
 
 KEY = ("document_id", "chunk_id")
 DISTANCES = ("cosine", "dot", "euclid", "manhattan")
@@ -79,53 +77,68 @@ def _tile(distance: str, asked: np.ndarray, stored: np.ndarray) -> np.ndarray:
     return out
 
 
-def _nearest(asked_ids: np.ndarray, asked: np.ndarray, limit: int, distance: str):
-    """A task's own ``limit`` best rows of each query, from batches of ``(id, vector)``."""
-    sign = -1.0 if distance in ("cosine", "dot") else 1.0
+def _best(rows: np.ndarray, ids: np.ndarray, values: np.ndarray, limit: int, sign: float) -> np.ndarray:
+    """Places of the ``limit`` best of each row's ``(ids, values)``, in order; ties by id, missing values last."""
+    order = np.lexsort((ids, np.where(np.isnan(values), np.inf, sign * values), rows))
+    firsts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    place = np.arange(len(order)) - np.repeat(firsts, np.diff(np.append(firsts, len(order))))
+    return order[place < limit]
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, width = asked.shape
-        ids, values = np.empty((count, 0), np.int64), np.empty((count, 0))
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                rows = [v if v is not None and len(v) == width else [None] * width for v in part.column(1).to_pylist()]
-                stored = np.array(rows, np.float64).reshape(len(rows), width)
-                new = np.concatenate([_tile(distance, asked[j : j + 256], stored) for j in range(0, count, 256)])
-                ids = np.concatenate([ids, np.broadcast_to(part.column(0).to_numpy(), new.shape)], 1)
-                values = np.concatenate([values, new], 1)
-                best = np.lexsort((ids, sign * values), axis=-1)[:, :limit]
-                ids, values = np.take_along_axis(ids, best, 1), np.take_along_axis(values, best, 1)
-        if values.shape[1]:
-            flat = values.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked_ids, ids.shape[1])), pa.array(ids.ravel()), pa.array(flat, mask=np.isnan(flat))], names=["query_id", "id", "score"])
-
-    return run
-
-
-def search_all(entries: DataFrame, queries: DataFrame, limit: int, distance: str = "cosine", id_col: str = "vec_id", column: str = "vector", block: int = 2048) -> DataFrame:
+def _nearest_of_tile(asked_ids: np.ndarray, asked: np.ndarray, ids: np.ndarray, stored: np.ndarray, limit: int, distance: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query_id, id, score)`` of the ``limit`` best entries of each query of a tile, computed in squares of bounded size."""
+    sign = -1.0 if distance in ("cosine", "dot") else 1.0
+    out: list[tuple[np.ndarray, ...]] = []
+    for i in range(0, len(asked), 256):
+        kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        for j in range(0, len(stored), 4096):
+            values = _tile(distance, asked[i : i + 256], stored[j : j + 4096])
+            keys = np.where(np.isnan(values), np.inf, sign * values)
+            last = np.partition(keys, min(limit, keys.shape[1]) - 1, axis=1)[:, min(limit, keys.shape[1]) - 1]
+            at = np.nonzero(keys <= last[:, None])
+            kept = tuple(np.concatenate(x) for x in zip(kept, (at[0], ids[j + at[1]], values[at])))
+            best = _best(*kept, limit, sign)
+            kept = tuple(x[best] for x in kept)
+        out.append((asked_ids[i + kept[0]], kept[1], kept[2]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def search_all(entries: DataFrame, queries: DataFrame, limit: int, distance: str = "cosine", id_col: str = "vec_id", column: str = "vector", block: int = 4096, tile: int = 65_536) -> DataFrame:
     """``(query_id, id_col, score, rank)``: the ``limit`` nearest entries of every row of ``queries``, exactly; ties by id.
 
-    Ids are whole numbers. Query vectors are sent out in blocks of at most ``block`` rows, one pass over
-    the entries each; a task keeps its own best rows of each query and those are merged. A vector that is
+    Ids are whole numbers. Queries and entries are dealt by hash into blocks of about ``block`` and ``tile`` rows; each block of
+    queries meets each block of entries in one task, which keeps its own best rows of each query, and those are merged, before
+    the shuffle too. One plan for any number of queries; no vector reaches the driver. A vector that is
     null or of another dimension has a null score, which comes last; queries must have one dimension.
     """
     if limit < 1:
         raise InvalidRequestError("the limit must be positive")
     if distance not in DISTANCES:
         raise InvalidRequestError("unknown distance")
-    rows = entries.select(F.col(id_col).cast("bigint").alias("id"), F.col(column).cast("array<double>").alias("vector"))
-    asked = queries.select(F.col(id_col).cast("bigint").alias("id"), F.col(column).cast("array<double>").alias("vector")).toLocalIterator()
-    found = None
-    while part := list(islice(asked, block)):
-        if len({-1 if r.vector is None else len(r.vector) for r in part} | ({width} if found is not None else set())) > 1 or part[0].vector is None:
-            raise InvalidRequestError("the queries have different dimensions")
-        width = len(part[0].vector)
-        run = _nearest(np.array([r.id for r in part], np.int64), np.array([r.vector for r in part], np.float64).reshape(len(part), width), limit, distance)
-        own = rows.mapInArrow(run, "query_id bigint, id bigint, score double")
-        found = own if found is None else found.union(own)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double")
+    shown = lambda rows: rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(column).cast("array<double>").alias("vector"))
+    asked = shown(queries)
+    sizes = asked.agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce(F.size("vector"), F.lit(-1))).alias("low"), F.max(F.coalesce(F.size("vector"), F.lit(-1))).alias("width")).first()
+    if sizes.n and (sizes.low != sizes.width or sizes.low < 0):
+        raise InvalidRequestError("the queries have different dimensions")
+    width = sizes.width or 0
+    fits = F.coalesce(F.size("vector") == width, F.lit(False))
+    rows = shown(entries).withColumn("vector", F.when(fits, F.col("vector")).otherwise(F.array_repeat(F.lit(float("nan")), width)))
+    query_blocks, entry_blocks = max(1, -(-sizes.n // block)), max(1, -(-rows.count() // tile))
+    # Blocks by hash, so that a lost task's rows fall into the same blocks again.
+    place = lambda count: F.pmod(F.xxhash64("id", "vector"), F.lit(count)).cast("int")
+    all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    one = asked.select(place(query_blocks).alias("query_block"), all_of(entry_blocks).alias("entry_block"), F.lit(True).alias("asked"), "id", "vector")
+    two = rows.select(all_of(query_blocks).alias("query_block"), place(entry_blocks).alias("entry_block"), F.lit(False).alias("asked"), "id", "vector")
+
+    def run(group: pa.Table) -> pa.Table:
+        side, ids = group.column("asked").to_numpy(), group.column("id").to_numpy()
+        values = group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), width)
+        if side.all() or not side.any():
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        found = _nearest_of_tile(ids[side], values[side], ids[~side], values[~side], limit, distance)
+        return pa.table({"query_id": found[0], "id": found[1], "score": pa.array(found[2], mask=np.isnan(found[2]))})
+
+    found = one.unionByName(two).groupBy("query_block", "entry_block").applyInArrow(run, "query_id bigint, id bigint, score double")
     best = F.col("score").desc_nulls_last() if distance in ("cosine", "dot") else F.col("score").asc_nulls_last()
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(best, "id")))
     return ranked.filter(F.col("rank") <= limit).withColumnRenamed("id", id_col)
@@ -177,14 +190,14 @@ def require_stored(incoming: DataFrame, stored: DataFrame, key: tuple[str, ...]
 def index(incoming: DataFrame, path: str, dimension: int, *content: str) -> int:
     """Append new entries to the Parquet table at ``path``; the number of rows written.
 
-    Any conflict or wrong dimension is raised before anything is written; equal entries are skipped. What
-    was written is read back and compared.
+    Any conflict or wrong dimension is raised before anything is written; equal entries are skipped. New entries are one
+    batch: staged, read back and compared, and then moved into place together; a failure leaves the table as it was.
     """
     spark = incoming.sparkSession
     if incoming.filter(~is_vector(F.col("vector")) | (F.size("vector") != dimension)).limit(1).count():
         raise InvalidRequestError("an entry has another dimension")
     entries = fingerprinted(incoming, "vector", *content)
-    stored = spark.read.schema(entries.schema).parquet(path).select(*KEY, "fingerprint") if _exists(spark, path) else entries.limit(0).select(*KEY, "fingerprint")
+    stored = batches(spark, path, entries.schema).select(*KEY, "fingerprint")
     actions = materialize(classify(entries, stored), "actions")
     if actions.filter("action = 'conflict'").limit(1).count():
         raise ConflictError("an entry differs from the stored one")
@@ -192,16 +205,10 @@ def index(incoming: DataFrame, path: str, dimension: int, *content: str) -> int:
     count = wanted.count()
     if count:
         new = materialize(entries.join(broadcast_within(wanted, BROADCAST_KEYS), list(KEY), "left_semi").dropDuplicates(list(KEY)), "new")
-        new.write.mode("append").parquet(path)
-        require_stored(new, spark.read.parquet(path).select(*KEY, "fingerprint"))
+        publish(new, path, lambda staged: require_stored(new, staged.select(*KEY, "fingerprint")))
     return count
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-
 def collection_status(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """``name, status`` of the collections ``wanted (name, dimension, distance)`` among the ``existing`` ones.
 
@@ -217,7 +224,7 @@ def collection_state(spark: SparkSession, path: str, dimension: int, distance: s
 
     What a collection is made for is a table of one row beside its entries, so no entry is read.
     """
-    if not _exists(spark, f"{path}/{_MADE_FOR}"):
+    if not exists(spark, f"{path}/{_MADE_FOR}"):
         return "absent"
     wanted = spark.createDataFrame([(path, dimension, distance)], "name string, dimension int, distance string")
     status = collection_status(wanted, spark.read.parquet(f"{path}/{_MADE_FOR}").withColumn("name", F.lit(path))).first().status

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +46,49 @@ def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
     ``df`` should be a written table, so that counting costs no recomputation.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """``path`` as Hadoop's, with its file system: whatever store Spark can write to."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, system = hadoop_path(spark, path)
+    return system.exists(place)
+
+
+def publish(rows: DataFrame, path: str, check: Callable[[DataFrame], None], *, by: str | None = None, kind: str = "parquet") -> str:
+    """Add ``rows`` to the table of batches at ``path`` as one batch, or not at all; the batch's name.
+
+    The rows are written to a folder of their own under ``path/_staging``, which readers of the table pass over, read
+    back there and given to ``check``. Only if that returns is the folder moved into place as ``path/batch=<name>``, by
+    one rename, so readers see all of a batch or none of it, and a run that breaks off, at any time, leaves the table as it
+    was. ``by`` names a column whose values become folders within the batch. What a failed run staged is deleted, if it still can be.
+    """
+    spark = rows.sparkSession
+    name = uuid.uuid4().hex
+    root = path.rstrip("/")
+    staged = f"{root}/_staging/{name}"
+    from_place, system = hadoop_path(spark, staged)
+    try:
+        writer = rows.write.partitionBy(by) if by else rows.write
+        writer.format(kind).save(staged)
+        check(spark.read.schema(rows.schema).format(kind).load(staged))
+        to_place, _ = hadoop_path(spark, f"{root}/batch={name}")
+        if not system.rename(from_place, to_place):
+            raise OSError("the staged batch can't be moved into place")
+    except BaseException:
+        system.delete(from_place, True)
+        raise
+    return name
+
+
+def batches(spark: SparkSession, path: str, schema, kind: str = "parquet") -> DataFrame:
+    """The rows of all batches at ``path``, with those columns of ``schema`` alone; none if there is no table yet."""
+    place, system = hadoop_path(spark, path)
+    found = system.exists(place) and any(s.getPath().getName().startswith("batch=") for s in system.listStatus(place))
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.option("basePath", path).schema(schema).format(kind).load(path)

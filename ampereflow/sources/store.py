@@ -9,17 +9,16 @@ from typing import Any, Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import ConflictError, DependencyUnavailableError, InvalidRequestError
 from ..operators.vectors import BROADCAST_KEYS, classify, require_stored
 from ..schemas import non_empty, non_negative
 from ..series import LOAD, Series
-from ..shared import broadcast_within, materialize
+from ..shared import batches, broadcast_within, materialize, publish
 
-
-def exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+#: Hex digits of a dead letter's key that name its folder.
+PREFIX = 2
 
 
 def create_observations(spark: SparkSession, table: str) -> None:
@@ -45,11 +44,12 @@ def _days_of(stored: DataFrame, rows: DataFrame, time: str) -> DataFrame:
 
 
 def save(rows: DataFrame, path: str, series: Series = LOAD) -> int:
-    """Append what is new to the Parquet table at ``path``, by day; the number of rows written.
+    """Add what is new to the table of batches at ``path``; the number of rows written.
 
     Invalid rows and conflicts, within the batch or with the table, are raised before anything is
-    written, and equal rows are skipped, so a retry changes nothing. What was written is read back: a
-    missing row means that the store failed, a different one a conflict. Two writers at once are not
+    written, and equal rows are skipped, so a retry changes nothing. The new rows are one batch: they are staged, read
+    back and compared, and only then moved into place together (:func:`shared.publish`). A missing row means that the store
+    failed, a different one a conflict, and either leaves the table as it was. Two writers at once are not
     isolated from each other by plain Parquet.
     """
     spark = rows.sparkSession
@@ -57,7 +57,8 @@ def save(rows: DataFrame, path: str, series: Series = LOAD) -> int:
     good = good & (non_negative(F.col(series.value)) if series == LOAD else F.col(series.value).isNotNull())
     if rows.filter(~good).limit(1).count():
         raise InvalidRequestError("a row breaks the table's rules")
-    stored = _days_of(spark.read.parquet(path), rows, series.time) if exists(spark, path) else rows.limit(0)
+    dated = T.StructType([*rows.schema.fields, T.StructField("day", T.DateType())])
+    stored = _days_of(batches(spark, path, dated), rows, series.time).drop("day")
     actions = materialize(upsert_actions(rows, stored, series), "actions")
     if actions.filter("action = 'conflict'").limit(1).count():
         raise ConflictError("a row differs from the stored one")
@@ -65,8 +66,7 @@ def save(rows: DataFrame, path: str, series: Series = LOAD) -> int:
     count = wanted.count()
     if count:
         fresh = materialize(rows.join(broadcast_within(wanted, BROADCAST_KEYS), list(series.row), "left_semi").dropDuplicates(list(series.row)), "fresh")
-        fresh.withColumn("day", F.to_date(series.time)).write.mode("append").partitionBy("day").parquet(path)
-        require_stored(fresh, _days_of(spark.read.parquet(path), fresh, series.time), series.row, series.value)
+        publish(fresh.withColumn("day", F.to_date(series.time)), path, lambda staged: require_stored(fresh, staged, series.row, series.value), by="day")
     return count
 
 
@@ -81,18 +81,36 @@ def dead_letter_actions(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return classify(mark(incoming), mark(stored.select(*incoming.columns)), ("key",), "content")
 
 
+def letters_of(spark: SparkSession, path: str, schema: T.StructType, prefixes: list[str] | None = None) -> DataFrame:
+    """The stored dead letters at ``path``; with ``prefixes``, those of these key prefixes alone, from no other folder."""
+    stored = batches(spark, path, T.StructType([*schema.fields, T.StructField("prefix", T.StringType())]), "json")
+    return (stored if prefixes is None else stored.filter(F.col("prefix").isin(*prefixes))).select(*schema.names)
+
+
 def enqueue(letters: DataFrame, path: str) -> int:
-    """Append dead letters as JSON; an equal retry is a no-op, another content for an id is a conflict."""
+    """Add dead letters as one batch of JSON; an equal retry is a no-op, another content for an id is a conflict.
+
+    Letters lie in folders by the first two digits of their key. A call reads those of its own letters, of which there are
+    at most 256; what it writes is staged, read back and compared before it is moved into place. A failure leaves the store as it was.
+    """
     spark = letters.sparkSession
-    stored = spark.read.schema(letters.schema).json(path) if exists(spark, path) else letters.limit(0)
+    keyed = letters.withColumn("__key", letter_key(F.col("record_id"))).withColumn("prefix", F.substring("__key", 1, PREFIX))
+    prefixes = sorted(r.prefix for r in keyed.select("prefix").distinct().collect())  # at most 16 ** PREFIX
+    stored = letters_of(spark, path, letters.schema, prefixes) if prefixes else letters.limit(0)
     actions = materialize(dead_letter_actions(letters, stored), "actions")
     if actions.filter("action = 'conflict'").limit(1).count():
         raise ConflictError("a dead letter differs from the stored one")
-    wanted = actions.filter("action = 'insert'").select("key")
+    wanted = actions.filter("action = 'insert'").select(F.col("key").alias("__key"))
     count = wanted.count()
     if count:
-        keyed = letters.withColumn("key", letter_key(F.col("record_id"))).dropDuplicates(["key"])
-        keyed.join(broadcast_within(wanted, BROADCAST_KEYS), "key", "left_semi").drop("key").write.mode("append").json(path)
+        fresh = materialize(keyed.join(broadcast_within(wanted, BROADCAST_KEYS), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key"), "letters")
+
+        def check(staged: DataFrame) -> None:
+            actions = {r.action for r in dead_letter_actions(fresh.drop("prefix"), staged.drop("prefix")).select("action").distinct().collect()}  # at most three
+            if actions - {"skip"}:
+                raise DependencyUnavailableError("a written dead letter can't be read back")
+
+        publish(fresh, path, check, by="prefix", kind="json")
     return count
 
 

@@ -45,6 +45,71 @@ def test_writes_read_only_the_batch_from_the_store(spark, tmp_path):
     assert store.save(batch, path) == 1
 
 
+def test_a_failed_read_back_leaves_nothing(spark, tmp_path, monkeypatch):
+    """A batch is seen whole or not at all, and a retry puts it in."""
+    path = str(tmp_path / "t")
+    assert store.save(observations(spark, ("c", 0, 1)), path) == 1
+    rows = spark.createDataFrame([("c", datetime(2026, 1, d), float(d)) for d in range(2, 12)], OBSERVATION)
+
+    def failing(*_):
+        raise DependencyUnavailableError("a written row can't be read back")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "require_stored", failing)
+        with pytest.raises(DependencyUnavailableError):
+            store.save(rows, path)
+    assert spark.read.parquet(path).count() == 1
+    assert store.save(rows, path) == 10 and store.save(rows, path) == 0
+    assert spark.read.parquet(path).count() == 11
+    batches = [p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("batch=")]
+    assert len(batches) == 2 and not list((tmp_path / "t" / "_staging").iterdir())
+
+
+def test_a_batch_left_in_staging_is_not_read(spark, tmp_path):
+    """A run that dies before the rename leaves a folder that no reader sees."""
+    path = str(tmp_path / "t")
+    store.save(observations(spark, ("c", 0, 1)), path)
+    observations(spark, ("c", 0, 7), ("c", 2, 7)).withColumn("day", F.to_date("timestamp")).write.partitionBy("day").parquet(path + "/_staging/dead")
+    assert store.save(observations(spark, ("c", 0, 1), ("c", 2, 3)), path) == 1
+    assert sorted(r.value_mw for r in spark.read.parquet(path).collect()) == [1.0, 3.0]
+
+
+def test_publish_fails_whole(spark, tmp_path):
+    from ampereflow.shared import batches, publish
+
+    path, rows = str(tmp_path / "p"), spark.range(10)
+    seen = []
+    publish(rows, path, lambda staged: seen.append(staged.count()))
+    with pytest.raises(ZeroDivisionError):
+        publish(rows, path, lambda staged: 1 // 0)
+    assert seen == [10] and batches(spark, path, rows.schema).count() == 10
+    assert batches(spark, str(tmp_path / "absent"), rows.schema).count() == 0
+
+
+def test_dead_letters_are_read_by_prefix(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    path = str(tmp_path / "dlq")
+    schema = "record_id string, code string, adapter_name string"
+    letters = spark.createDataFrame([(f"s:row:{i}", "x", "csv") for i in range(300)], schema)
+    assert store.enqueue(letters, path) == 300
+    small = letters.filter("record_id in ('s:row:4', 's:row:5')")
+    prefixes = sorted({hashlib.sha256(f"s:row:{i}".encode()).hexdigest()[:2] for i in (4, 5)})
+    stored = store.letters_of(spark, path, letters.schema, prefixes)
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "prefix" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    want = sum(hashlib.sha256(f"s:row:{i}".encode()).hexdigest()[:2] in prefixes for i in range(300))
+    assert stored.count() == want < 20
+    asked = []
+    real = store.letters_of
+    monkeypatch.setattr(store, "letters_of", lambda s, p, k, prefixes=None: asked.append(prefixes) or real(s, p, k, prefixes))
+    assert store.enqueue(small, path) == 0 and asked == [prefixes]
+    with pytest.raises(ConflictError):
+        store.enqueue(small.withColumn("code", F.lit("z")), path)
+    assert store.enqueue(small.limit(0), path) == 0
+    assert store.letters_of(spark, path, letters.schema).count() == 300
+
+
 def test_payloads_are_decoded_or_refused(spark):
     import json
 

@@ -21,3 +21,31 @@ def test_batch_equals_single_searches(spark, block):
         assert sorted((r.rank, r.vec_id, r.score) for r in found if r.query_id == asked) == sorted((r.rank, r.vec_id, r.score) for r in single)
     with pytest.raises(InvalidRequestError):
         vectors.search_all(rows, rows, 4)
+
+
+@pytest.mark.parametrize("distance", ["cosine", "dot", "euclid", "manhattan"])
+def test_small_tiles_equal_a_plain_sort(spark, distance):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors_of = {i: rng.integers(-2, 3, 5).astype(float).tolist() for i in range(300)}  # many ties
+    vectors_of[300] = [0.0] * 5
+    rows = spark.createDataFrame([*vectors_of.items(), (301, None), (302, [1.0]), (303, [float("nan")] * 5)], "vec_id bigint, vector array<double>")
+    found = vectors.search_all(rows, rows.filter("vec_id % 20 = 1 and vec_id < 300"), 7, distance, block=4, tile=40)
+    assert "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    sign = -1 if distance in ("cosine", "dot") else 1
+    for q in range(1, 300, 20):
+        scores = vectors._tile(distance, np.array([vectors_of[q]]), np.array([vectors_of[i] for i in range(301)]))[0]
+        order = sorted(range(301), key=lambda i: (np.isnan(scores[i]), sign * scores[i] if not np.isnan(scores[i]) else 0, i))
+        assert [i for _, i in sorted(got[q])] == order[:7]
+
+
+def test_more_asked_than_there_are_and_no_queries(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "vec_id bigint, vector array<double>")
+    found = vectors.search_all(rows, rows.filter("vec_id = 1"), 10).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in found) == [(1, 1, 1.0), (2, 3, 0.0), (3, 2, None)]
+    assert vectors.search_all(rows, rows.filter("vec_id = 99"), 10).count() == 0
+    assert vectors.search_all(rows.filter("vec_id = 99"), rows.filter("vec_id = 1"), 10).count() == 0
