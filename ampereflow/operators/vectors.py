@@ -19,6 +19,10 @@ KEY = ("document_id", "chunk_id")
 DISTANCES = ("cosine", "dot", "euclid", "manhattan")
 #: Most keys of a call that are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
+#: A call of so many bytes at least, and a table of up to so many times its size, are grouped together.
+LARGE_CALL, WHOLE_TABLE = 1 << 20, 4
+#: Spark estimates a table that it knows nothing of at least so large.
+UNKNOWN = 1 << 60
 _MADE_FOR = "_collection"
 
 
@@ -161,21 +165,48 @@ def fingerprinted(entries: DataFrame, *content: str) -> DataFrame:
     return entries.withColumn("fingerprint", F.sha2(F.to_json(F.struct(*KEY, *content), {"ignoreNullFields": "false"}), 256))
 
 
+def _bytes(rows: DataFrame) -> int:
+    """Spark's estimate of a table's size; no job is run for it."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _action(kept: Column) -> Column:
+    """The action of a key from its call's and its stored contents; ``kept`` says whether it is stored."""
+    mixed = ~F.col("__low").eqNullSafe(F.col("__high")) | ((F.col("__known") > 0) & (F.col("__known") < F.col("__n")))
+    same = F.col("__stored").eqNullSafe(F.col("__low")) & F.col("__other").eqNullSafe(F.col("__low"))
+    return F.when(mixed, "conflict").when(~kept, "insert").when(same, "skip").otherwise("conflict")
+
+
+def _classify_together(incoming: DataFrame, stored: DataFrame, key: tuple[str, ...], content: str) -> DataFrame:
+    side = lambda rows, calls: rows.select(*key, F.col(content).alias("__content"), F.lit(calls).alias("__call"))
+    call, there = F.col("__call"), ~F.col("__call")
+    of = lambda which, value: F.when(which, value)
+    own, held = of(call, F.col("__content")), of(there, F.col("__content"))
+    sums = [F.min(own).alias("__low"), F.max(own).alias("__high"), F.count(of(call, F.lit(1))).alias("__n"), F.count(own).alias("__known"), F.min(held).alias("__stored"), F.max(held).alias("__other"), F.count(of(there, F.lit(1))).alias("__kept")]
+    grouped = side(incoming, True).unionByName(side(stored, False)).groupBy(*key).agg(*sums)
+    # Keys are joined by equality, so a key with a null is never stored.
+    known = F.lit(True)
+    for name in key:
+        known = known & F.col(name).isNotNull()
+    return grouped.filter("__n > 0").select(*key, _action((F.col("__kept") > 0) & known).alias("action"))
+
+
 def classify(incoming: DataFrame, stored: DataFrame, key: tuple[str, ...] = KEY, content: str = "fingerprint") -> DataFrame:
     """For each key that comes in: ``action`` ``insert``, ``skip`` or ``conflict``.
 
     Equal repeats within the call are one; different ones are a conflict, and so is a stored row of
-    other content. The keys of the call are aggregated and written first, and of the stored rows only
+    other content. For a call about as large as what is stored both sides are grouped together, in one shuffle. For a smaller one
+    the keys of the call are aggregated and written first, and of the stored rows only
     those with such a key are grouped: a small call shuffles little of a large table.
     """
+    size = _bytes(incoming)
+    if LARGE_CALL <= size < UNKNOWN and _bytes(stored) <= WHOLE_TABLE * size:
+        return _classify_together(incoming, stored, key, content)
     calls = incoming.groupBy(*key).agg(F.min(content).alias("__low"), F.max(content).alias("__high"), F.count(F.lit(1)).alias("__n"), F.count(content).alias("__known"))
     calls = materialize(calls, "calls")
     asked = broadcast_within(calls.select(*key), BROADCAST_KEYS)
     kept = stored.join(asked, list(key), "left_semi").groupBy(*key).agg(F.min(content).alias("__stored"), F.max(content).alias("__other"), F.lit(True).alias("__there"))
-    mixed = ~F.col("__low").eqNullSafe(F.col("__high")) | ((F.col("__known") > 0) & (F.col("__known") < F.col("__n")))
-    same = F.col("__stored").eqNullSafe(F.col("__low")) & F.col("__other").eqNullSafe(F.col("__low"))
-    action = F.when(mixed, "conflict").when(F.col("__there").isNull(), "insert").when(same, "skip").otherwise("conflict")
-    return calls.join(kept, list(key), "left").select(*key, action.alias("action"))
+    return calls.join(kept, list(key), "left").select(*key, _action(F.col("__there").isNotNull()).alias("action"))
 
 
 def require_stored(incoming: DataFrame, stored: DataFrame, key: tuple[str, ...] = KEY, content: str = "fingerprint") -> None:

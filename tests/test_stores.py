@@ -45,6 +45,22 @@ def test_writes_read_only_the_batch_from_the_store(spark, tmp_path):
     assert store.save(batch, path) == 1
 
 
+def test_both_ways_of_classifying_agree(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    rows = lambda n: [(rng.choice(["a", "b", None]), rng.randrange(20), rng.choice([1.0, 2.0, None])) for _ in range(n)]
+    schema = "k string, t int, v double"
+    incoming, stored = spark.createDataFrame(rows(60), schema), spark.createDataFrame(rows(40), schema)
+    found = []
+    for share in (10**9, 0):
+        monkeypatch.setattr(vectors, "WHOLE_TABLE", share)
+        monkeypatch.setattr(vectors, "LARGE_CALL", 0)
+        monkeypatch.setattr(vectors, "UNKNOWN", 1 << 80)
+        found.append(sorted(map(str, vectors.classify(incoming, stored, ("k", "t"), "v").collect())))
+    assert found[0] == found[1] and all(any(a in x for x in found[0]) for a in ("insert", "skip", "conflict"))
+
+
 def test_a_failed_read_back_leaves_nothing(spark, tmp_path, monkeypatch):
     """A batch is seen whole or not at all, and a retry puts it in."""
     path = str(tmp_path / "t")
