@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidRequestError
+from ..functions.normalize import timestamp_utc
+from ..schemas import non_empty
 from ..series import LOAD, Series
 from .regression import AMOUNT, PREDICTED, TERM, exact
 
@@ -77,3 +79,31 @@ def check_request(history: DataFrame, targets: DataFrame, series: Series, entity
         other = other | ~F.col(key).eqNullSafe(F.lit(entity[key]))
     if history.filter(other).limit(1).count():
         raise InvalidRequestError("the history belongs to another entity")
+
+
+#: A stamp that ends in UTC.
+_IN_UTC = r"(Z|[+-]00(:?00)?)\s*$"
+
+
+def judge_requests(requests: DataFrame, history: DataFrame, series: Series) -> DataFrame:
+    """``(request_id, verdict)`` of many requests at once, by the rules of :func:`check_request`; ``verdict`` is null where all hold.
+
+    ``requests``: ``request_id``, ``run_id``, the entity's keys, ``generated_at`` (text) and ``targets`` (a list). ``history``: ``request_id``
+    and the entity's keys of each row. The first rule that is broken counts: ``empty_id``, ``not_utc`` (no instant with an offset of zero),
+    ``no_target``, ``other_history``. History is cut to different entities of a request before it meets the request, so its
+    length doesn't matter; a request without history is fine.
+    """
+    keys = list(series.keys)
+    held = history.select("request_id", *[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    other = F.lit(False)
+    for key in keys:
+        other = other | ~F.col(key).eqNullSafe(F.col(f"__{key}"))
+    strange = held.join(requests.select("request_id", *keys), "request_id").filter(other).select(F.col("request_id").alias("__strange")).distinct()
+    empty = F.lit(False)
+    for name in ("run_id", *keys):
+        empty = empty | ~non_empty(F.col(name))
+    aware = timestamp_utc(F.col("generated_at")).isNotNull() & F.col("generated_at").rlike(_IN_UTC)
+    rules = [("empty_id", empty), ("not_utc", ~F.coalesce(aware, F.lit(False))), ("no_target", F.coalesce(F.size("targets"), F.lit(0)) < 1), ("other_history", F.col("__strange").isNotNull())]
+    broken = F.array(*[F.when(holds, F.struct(F.lit(n).alias("rule"), F.lit(name).alias("name"))) for n, (name, holds) in enumerate(rules)])
+    joined = requests.join(strange, F.col("request_id") == F.col("__strange"), "left")
+    return joined.select("request_id", F.array_min(broken)["name"].alias("verdict"))

@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import forecast
+from ..series import LOAD
 from ..shared import shared_dir
-from ..sources import csv_records, header_join
+from ..sources import constraints, csv_records, header_join
 from .fixtures import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +118,42 @@ def header_resolve(spark, d):
     names = nation.select(F.col("n_name").alias("field"), F.col("n_name").alias("name"))
     found = header_join.resolve(suppliers.select("s_suppkey", header.alias("header")), names)
     return found.select("s_suppkey", "status", "field", F.round("confidence", 9).alias("confidence"))
+
+
+@query(
+    "constraint_records",
+    """SELECT s_suppkey AS request_id, CASE k WHEN 0 THEN 'refusal' WHEN 1 THEN 'envelope' WHEN 2 THEN 'evidence' WHEN 3 THEN 'record' WHEN 4 THEN 'evidence' END AS failure, CASE WHEN k < 5 THEN 0 ELSE 2 END AS records, CASE WHEN k >= 5 THEN round(s_acctbal, 2) END AS least, CASE WHEN k >= 5 THEN CAST(DATE '2026-01-01' + CAST(s_nationkey AS INTEGER) AS VARCHAR) END AS since
+    FROM (SELECT *, s_suppkey % 7 AS k FROM supplier)""",
+)
+def typed_constraints(spark, d):
+    """Answers made of suppliers, of which five in seven are refusals, of another form, without evidence, or break a rule."""
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("request_id"), (F.col("s_suppkey") % 7).alias("k"), F.round("s_acctbal", 2).alias("least"), F.date_add(F.lit("2026-01-01").cast("date"), F.col("s_nationkey").cast("int")).cast("string").alias("since"), F.trim("s_name").alias("name"))
+    k = F.col("k")
+
+    def candidate(name: str, cited: Column, end: Column):
+        fields = [F.concat(F.lit(name), "name").alias("constraint_id"), F.when((k == 1) & (name == "b"), F.lit(None)).otherwise(F.lit("cap")).alias("constraint_type"), F.lit(" a cap ").alias("description"), F.col("since").alias("effective_from"), end.alias("effective_to"), F.col("least").alias("minimum_value"), F.lit("AMD").alias("currency"), F.array(cited).alias("evidence_chunk_ids")]
+        return F.struct(*fields)
+
+    first = candidate("a", F.when(k == 2, "c9").otherwise("c1"), F.when(k == 3, "2020-01-01").otherwise(F.col("since")))
+    second = candidate("b", F.when(k == 4, "elsewhere").otherwise("c2"), F.when(k == 4, "2020-01-01"))
+    answers = rows.select("request_id", F.when(k == 0, "no").alias("refusal"), F.to_json(F.struct(F.array(first, second).alias("constraints"))).alias("answer"))
+    chunks = rows.select("request_id", F.explode(F.array(F.lit("c1"), F.lit("c2"))).alias("chunk_id"))
+    found = constraints.constraint_records(answers, chunks)
+    counts = found.records.groupBy("request_id").agg(F.count(F.lit(1)).cast("int").alias("records"), F.min("minimum_value").alias("least"), F.min("effective_from").cast("string").alias("since"))
+    out = rows.select("request_id").join(found.failures, "request_id", "left").join(counts, "request_id", "left")
+    return out.select("request_id", "failure", F.coalesce("records", F.lit(0)).alias("records"), "least", "since")
+
+
+@query(
+    "request_check",
+    """SELECT c_custkey AS request_id, CASE WHEN c_custkey % 11 = 0 THEN 'empty_id' WHEN c_custkey % 11 = 1 THEN 'empty_id' WHEN c_custkey % 11 IN (2, 3) THEN 'not_utc' WHEN c_custkey % 11 = 4 THEN 'no_target' WHEN strange THEN 'other_history' END AS verdict
+    FROM customer LEFT JOIN (SELECT o_custkey, bool_or(o_orderkey % 3 = 0) AS strange FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey""",
+)
+def request_check(spark, d):
+    """One request for each customer, with its orders as history, some of it another's."""
+    k = F.col("c_custkey") % 11
+    customers = table(spark, d, "customer")
+    name = F.col("c_custkey").cast("string")
+    requests = customers.select(F.col("c_custkey").alias("request_id"), F.when(k == 0, "  ").otherwise("run").alias("run_id"), F.when(k == 1, F.lit(None)).otherwise(name).alias("consumer_id"), F.when(k == 2, "2026-01-01T00:00:00").when(k == 3, "2026-01-01T00:00:00+01:00").when(k == 5, "2026-01-01T00:00:00+00:00").otherwise("2026-01-01T00:00:00Z").alias("generated_at"), F.when(k == 4, F.array().cast("array<timestamp_ntz>")).otherwise(F.array(F.lit("2026-01-02 00:00:00").cast("timestamp_ntz"))).alias("targets"))
+    history = table(spark, d, "orders").select(F.col("o_custkey").alias("request_id"), F.when(F.col("o_orderkey") % 3 == 0, "other").otherwise(F.col("o_custkey").cast("string")).alias("consumer_id"))
+    return forecast.judge_requests(requests, history, LOAD)
