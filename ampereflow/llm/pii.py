@@ -198,7 +198,8 @@ def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
         first = bisect_right(starts, s) - 1
         before = [(a, side(a, min(b, s))) for a, b in words[max(first - 5, 0) : first + 1] if a < s]
         before = [(a, name) for a, name in before if name][-2:]
-        after = [side(max(a, e), b) for a, b in words[max(bisect_right(starts, e) - 1, 0) :][:5] if b > e]
+        next_word = max(bisect_right(starts, e) - 1, 0)
+        after = [side(max(a, e), b) for a, b in words[next_word : next_word + 5] if b > e]
         one, two = before[-1][1] if before else "^", before[0][1] if len(before) > 1 else "^"
         right = next(filter(None, after), "$")
         near = text[max(before[-1][0], s - 4 * DIGEST_FROM) : s] if before else ""
@@ -319,9 +320,11 @@ def _joined(spans):
 
 
 def op8_pii(spark, sf_dir):
-    """Counts and digest are of the fixed patterns' spans; ``spans`` has the discovered ones too."""
+    """Counts and digest are of the fixed patterns' spans; ``spans`` has the discovered ones of the four kinds too, ``secrets`` those of secrets."""
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    every = F.array_sort(F.concat("base", "found"))
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"))
+    secret = len(KINDS)
+    every = F.array_sort(F.concat("base", F.filter("found", lambda s: s["kind"] < secret)))
+    secrets = F.array_sort(F.filter("found", lambda s: s["kind"] == secret))
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(every).alias("spans"), _joined(secrets).alias("secrets"))

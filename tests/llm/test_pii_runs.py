@@ -116,3 +116,27 @@ def test_secrets_are_found_by_their_keys(spark):
     found = {r.doc_id: r.found for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     assert [(s.kind, texts[0][s.start : s.end]) for s in found[0]] == [(4, "0000abcdef0123456789abcdef")]
     assert [(s.kind, texts[6][s.start : s.end]) for s in found[6]] == [(4, "plain9")] and not found[7] and not found[8]
+
+
+def test_long_texts_with_many_candidates_take_linear_time():
+    import time
+
+    def seconds(count):
+        text = "word 12345x, other " * count
+        spans = pii.base_spans(text)
+        best = []
+        for _ in range(2):
+            began = time.time()
+            found = pii.occurrences(text, spans)
+            best.append(time.time() - began)
+        assert len(found) == count
+        return min(best)
+
+    assert seconds(40_000) < 3 * 4 * max(seconds(10_000), 0.05)
+
+
+def test_secrets_have_a_column_of_their_own(spark):
+    found = pii.op8_pii(spark, "/root/testdata/sf0.01").select("spans", "secrets").collect()
+    kinds = {s.split(":")[0] for r in found for s in r.spans.split(",") if s}
+    assert kinds <= set(pii.KINDS)
+    assert {s.split(":")[0] for r in found for s in r.secrets.split(",") if s} == {"secret"}
