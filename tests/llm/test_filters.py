@@ -11,15 +11,22 @@ from ampereflow.llm import common, decontaminate, language, license_texts, licen
 
 # --- op3
 
-def shingles(text):
+def shingles(text, size=5):
     w = re.findall(r"[^\W_]+", (text or "").lower())
-    return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 5, 0) + 1)} if w else set()
+    return {" ".join(w[i : i + size]) for i in range(len(w) - size + 1)} if w else set()
 
 
-def test_containment_matches_brute_force(spark):
+def own_shingles(text):
+    """An item's shingles: of five words, or of all its words if it has fewer."""
+    return shingles(text, max(1, min(5, len(re.findall(r"[^\W_]+", (text or "").lower())))))
+
+
+@pytest.mark.parametrize("in_row", [1000, 0])
+def test_containment_matches_brute_force(spark, monkeypatch, in_row):
+    monkeypatch.setattr(decontaminate, "IN_ROW", in_row)
     rng = random.Random(1)
     words = [f"w{i}" for i in range(60)]
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 5, 6, 14, 33, 70])))) for i in range(25)] + [(90, ""), (91, None), (92, "same Words here, twice over."), (93, "same words here twice over"), (None, "a b c d e f")]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 5, 6, 14, 33, 70])))) for i in range(25)] + [(90, ""), (91, None), (92, "same Words here, twice over."), (93, "same words here twice over"), (94, "w7 w8"), (95, "W7"), (96, "words here -- twice"), (97, "w7"), (None, "a b c d e f"), (None, "w1")]
     docs = [(1, None), (2, ""), (3, "same words HERE -- twice\nover and on"), (None, items[5][1])]
     for k in range(60):
         text = [rng.choice(words) for _ in range(rng.choice([0, 10, 400]))]
@@ -33,10 +40,10 @@ def test_containment_matches_brute_force(spark):
     pooled = {}
     for d, t in docs:
         if d is not None:
-            pooled.setdefault(d, set()).update(shingles(t))
+            pooled.setdefault(d, set()).update(*[shingles(t, n) for n in range(1, 6)])
     for d, s in pooled.items():
         for i, t in items:
-            q = shingles(t)
+            q = own_shingles(t)
             if i is not None and q and len(q & s) >= 0.8 * len(q) - 1e-9:
                 expected.add((d, i, len(q & s), len(q)))
     documents = spark.createDataFrame([(d, t, "c", 1) for d, t in docs], "doc_id bigint, text string, item string, q int")
@@ -447,3 +454,15 @@ def test_deciding_words_miss_no_line():
     deciding = set(licenses.deciding_words(vectors, 0.8))
     for weights in vectors:
         assert sum(x * x for w, x in weights.items() if w not in deciding) ** 0.5 < 0.8
+
+
+def test_short_items_in_spark_and_sql(spark, tmp_path):
+    """Items of one to four words within longer texts, against the SQL of the query."""
+    import duckdb
+
+    spark.createDataFrame([(1, "the Capital of France, is it not known to all of us"), (2, "capital of"), (3, "capital of france"), (4, None), (5, "france capital of"), (6, "one two three four five six seven")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "capital of France"), (2, "seven"), (3, "two three four five six"), (4, ""), (5, "known to"), (6, "a b c d")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.op3_decontaminate(spark, str(tmp_path)).collect()}
+    assert found == {(1, 1), (3, 1), (6, 2), (6, 3), (1, 5)}
+    views = [f"read_parquet('{tmp_path}/{n}.parquet/*.parquet')" for n in ("documents", "benchmark")]
+    assert {tuple(r[:2]) for r in duckdb.sql(decontaminate.contained_sql(*views)).fetchall()} == found
