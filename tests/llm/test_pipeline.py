@@ -21,7 +21,7 @@ def test_stages_keep_columns_and_drop_what_they_reject(spark):
 def test_registry_names_every_operator():
     from ampereflow.llm import registry
 
-    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 14))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
 
 
