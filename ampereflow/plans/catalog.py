@@ -125,6 +125,8 @@ def _register(series: Series) -> None:
         absent = " OR ".join(f"{error[m]} IS NULL" for m in models)
         sql = f"SELECT {', '.join('r.' + k for k in keys)}, count(*) AS n, {', '.join(f'round(avg({error[m]}), {digits}) AS mae_{m}' for m in models)}, count(CASE WHEN {absent} THEN 1 END) AS misaligned FROM ({split_sql[n]}) r{joins} WHERE part = 'evaluation' GROUP BY {', '.join('r.' + k for k in keys)}"
         add(key, lambda s, d, n=n, models=models: _rounded(regression.backtest(rows(n)(s, d), series, models), *[f"mae_{m}" for m in models], digits=digits), sql)
+        if series == PRICE:
+            add(f"{key}_dec", lambda s, d, n=n, models=models: _decimals(regression.backtest(rows(n)(s, d), series, models), *[f"mae_{m}" for m in models]), f"SELECT {group}, n, {', '.join(_DECIMAL_SQL.format(f'mae_{m}') for m in models)}, misaligned FROM ({sql})")
 
     # forecasts of the evaluation instants a day and a week past the last fit's rows
     def targets(s, d):
@@ -137,11 +139,14 @@ def _register(series: Series) -> None:
 
     def ols_forecast(s, d):
         fit = regression.fit(rows(2)(s, d).filter("part = 'train'"), series, 2)
-        return _rounded(forecast.ols(targets(s, d), history(s, d), fit, series), "predicted", digits=digits)
+        return forecast.ols(targets(s, d), history(s, d), fit, series)
 
     value = f"f.intercept + f.b1 * CAST(l24.{series.value} AS DOUBLE) + f.b2 * CAST(l168.{series.value} AS DOUBLE)"
     negative = f"WHEN {value} < 0 THEN 'negative' " if series == LOAD else ""
-    add("ols_fc", ols_forecast, f"SELECT {group}, timestamp, CASE WHEN status = 'ok' THEN round(v, {digits}) END AS predicted, status FROM (SELECT {', '.join('t.' + k for k in keys)}, t.timestamp, {value} AS v, CASE WHEN l24.timestamp IS NULL THEN 'missing_24h' WHEN l168.timestamp IS NULL THEN 'missing_168h' WHEN f.b1 IS NULL THEN 'unfitted' {negative}ELSE 'ok' END AS status FROM ({targets_sql}) t {at(24)} {at(168)} LEFT JOIN (SELECT * FROM ({fit_sql[2]}) WHERE status = 'ok') f ON {' AND '.join(f'f.{k} = t.{k}' for k in keys)})")
+    ols_sql = f"SELECT {group}, timestamp, CASE WHEN status = 'ok' THEN round(v, {digits}) END AS predicted, status FROM (SELECT {', '.join('t.' + k for k in keys)}, t.timestamp, {value} AS v, CASE WHEN l24.timestamp IS NULL THEN 'missing_24h' WHEN l168.timestamp IS NULL THEN 'missing_168h' WHEN f.b1 IS NULL THEN 'unfitted' {negative}ELSE 'ok' END AS status FROM ({targets_sql}) t {at(24)} {at(168)} LEFT JOIN (SELECT * FROM ({fit_sql[2]}) WHERE status = 'ok') f ON {' AND '.join(f'f.{k} = t.{k}' for k in keys)})"
+    add("ols_fc", lambda s, d: _rounded(ols_forecast(s, d), "predicted", digits=digits), ols_sql)
+    if series == PRICE:
+        add("ols_fc_dec", lambda s, d: _decimals(ols_forecast(s, d), "predicted"), f"SELECT {group}, timestamp, {_DECIMAL_SQL.format('predicted')}, status FROM ({ols_sql})")
 
 
 for _series in (LOAD, PRICE):
@@ -374,6 +379,12 @@ def fingerprint(spark, d):
     return both.select("document_id", "chunk_id", F.col("fingerprint").rlike("^[0-9a-f]{64}$").alias("digest"), (F.col("fingerprint") == F.col("other")).alias("same"))
 
 
+@query("fingerprint_digest", """SELECT CAST(vec_id AS VARCHAR) AS chunk_id, sha256('{"document_id":"embeddings","chunk_id":"' || vec_id || '","label":' || coalesce(CAST(label AS VARCHAR), 'null') || '}') AS fingerprint FROM embeddings""")
+def fingerprint_digest(spark, d):
+    """The digests themselves, over entries whose content both engines write alike."""
+    return vectors.fingerprinted(_entries(spark, d), "label").select("chunk_id", "fingerprint")
+
+
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..operators import forecast
 from ..series import LOAD
 from ..shared import shared_dir
-from ..sources import constraints, csv_records, header_join
-from .fixtures import table
+from ..sources import constraints, csv_records, header_join, versions
+from .fixtures import LOAD_SQL, load_hourly, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -157,3 +157,22 @@ def request_check(spark, d):
     requests = customers.select(F.col("c_custkey").alias("request_id"), F.when(k == 0, "  ").otherwise("run").alias("run_id"), F.when(k == 1, F.lit(None)).otherwise(name).alias("consumer_id"), F.when(k == 2, "2026-01-01T00:00:00").when(k == 3, "2026-01-01T00:00:00+01:00").when(k == 5, "2026-01-01T00:00:00+00:00").otherwise("2026-01-01T00:00:00Z").alias("generated_at"), F.when(k == 4, F.array().cast("array<timestamp_ntz>")).otherwise(F.array(F.lit("2026-01-02 00:00:00").cast("timestamp_ntz"))).alias("targets"))
     history = table(spark, d, "orders").select(F.col("o_custkey").alias("request_id"), F.when(F.col("o_orderkey") % 3 == 0, "other").otherwise(F.col("o_custkey").cast("string")).alias("consumer_id"))
     return forecast.judge_requests(requests, history, LOAD)
+
+
+@query(
+    "table_versions",
+    f"""SELECT 'up' AS step, consumer_id, timestamp, round(value_mw, 6) AS value_mw, sha256(consumer_id || '|' || strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f')) AS record_key FROM {LOAD_SQL}
+    UNION ALL SELECT 'down', consumer_id, timestamp, round(value_mw, 6), NULL FROM {LOAD_SQL}""",
+)
+def table_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly loads as a table of the first version, brought up to the second, and another one brought up and back."""
+    shown = []
+    for step, targets in (("up", (2,)), ("down", (2, 1))):
+        path = _folder(spark, "versions")
+        versions.create(load_hourly(spark, d).withColumn("day", F.to_date("timestamp")), path, 1, "day")
+        for target in targets:
+            versions.migrate(spark, path, versions.OBSERVATIONS, target, "day")
+        rows = versions.read(spark, path)
+        key = F.col("record_key") if "record_key" in rows.columns else F.lit(None).cast("string")
+        shown.append(rows.select(F.lit(step).alias("step"), "consumer_id", "timestamp", F.round("value_mw", 6).alias("value_mw"), key.alias("record_key")))
+    return shown[0].unionByName(shown[1])
