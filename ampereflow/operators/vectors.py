@@ -21,6 +21,8 @@ DISTANCES = ("cosine", "dot", "euclid", "manhattan")
 BROADCAST_KEYS = 200_000
 #: A call of so many bytes at least, and a table of up to so many times its size, are grouped together.
 LARGE_CALL, WHOLE_TABLE = 1 << 20, 4
+#: Most partitions that the groups of a batch search are dealt over.
+MOST_PARTITIONS = 8192
 #: Spark estimates a table that it knows nothing of at least so large.
 UNKNOWN = 1 << 60
 _MADE_FOR = "_collection"
@@ -61,26 +63,65 @@ def search(entries: DataFrame, query: list[float], limit: int, distance: str = "
     return nearest.withColumn("rank", F.row_number().over(Window.orderBy(best, *key)))  # of at most limit rows
 
 
-def _tile(distance: str, asked: np.ndarray, stored: np.ndarray) -> np.ndarray:
-    """Scores of each query (row) and stored vector (column), summed in the order of the dimensions."""
+def _scores(distance: str, asked: np.ndarray, stored: np.ndarray) -> np.ndarray:
+    """Scores of vectors against vectors of a shape that broadcasts, summed in the order of the dimensions (the last axis)."""
     if distance not in DISTANCES:
         raise InvalidRequestError("unknown distance")
-    out, own, length = np.zeros((len(asked), len(stored))), np.zeros(len(stored)), np.zeros(len(asked))
-    for a, b in zip(asked.T, stored.T):
+    out = np.zeros(np.broadcast_shapes(asked.shape[:-1], stored.shape[:-1]))
+    own, length = np.zeros(stored.shape[:-1]), np.zeros(asked.shape[:-1])
+    for a, b in zip(np.moveaxis(asked, -1, 0), np.moveaxis(stored, -1, 0)):
         if distance in ("cosine", "dot"):
-            out += a[:, None] * b
+            out += a * b
             own, length = own + b * b, length + a * a
         else:
-            step = b - a[:, None]
+            step = b - a
             out += step * step if distance == "euclid" else np.abs(step)
     if distance == "euclid":
         return np.sqrt(out)
     if distance == "cosine":
-        scale = np.sqrt(own) * np.sqrt(length)[:, None]
+        scale = np.sqrt(own) * np.sqrt(length)
         return np.divide(out, scale, out=np.full_like(out, np.nan), where=scale != 0)
     return out
 
 
+def _tile(distance: str, asked: np.ndarray, stored: np.ndarray) -> np.ndarray:
+    """Scores of each query (row) and stored vector (column)."""
+    return _scores(distance, asked[:, None], stored[None])
+
+
+def _city(asked: np.ndarray, stored: np.ndarray) -> np.ndarray:
+    """Manhattan distances in single precision, in squares that stay in a core's cache."""
+    out = np.zeros((len(asked), len(stored)), np.float32)
+    one, other = asked.T.astype(np.float32), np.ascontiguousarray(stored.T, np.float32)
+    for i in range(0, len(asked), 64):
+        for j in range(0, len(stored), 1024):
+            total = np.zeros_like(out[i : i + 64, j : j + 1024])
+            step = np.empty_like(total)
+            for a, b in zip(one[:, i : i + 64], other[:, j : j + 1024]):
+                np.subtract(b, a[:, None], out=step)
+                total += np.abs(step, out=step)
+            out[i : i + 64, j : j + 1024] = total
+    return out
+
+
+def _about(distance: str, asked: np.ndarray, stored: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(keys, slack)`` of each query and stored vector: about the score (squared for euclid, negated where higher is nearer) by
+    fast means, and by how much it and what :func:`_scores` computes may differ at most. What can't be told is not a number."""
+    unit = 8 * (asked.shape[1] + 8) * (2.0**-24 if distance == "manhattan" else 2.0**-53)
+    if distance == "manhattan":
+        size = np.abs(asked).sum(1)[:, None] + np.abs(stored).sum(1)
+        return _city(asked, stored), np.where(size < 1e37, unit * size + 1e-30, np.inf)
+    inner = asked @ stored.T
+    one, other = (asked * asked).sum(1)[:, None], (stored * stored).sum(1)
+    if distance == "euclid":
+        return one + other - 2 * inner, unit * (one + other) + 1e-300
+    scale = np.sqrt(one) * np.sqrt(other)
+    if distance == "dot":
+        return -inner, unit * scale + 1e-300
+    sure = (np.minimum(one, other) > 1e-280) & (np.maximum(one, other) < 1e280)
+    return np.divide(-inner, scale, out=np.full_like(inner, np.nan), where=sure), np.full_like(inner, unit)
+
+
 def _best(rows: np.ndarray, ids: np.ndarray, values: np.ndarray, limit: int, sign: float) -> np.ndarray:
     """Places of the ``limit`` best of each row's ``(ids, values)``, in order; ties by id, missing values last."""
     order = np.lexsort((ids, np.where(np.isnan(values), np.inf, sign * values), rows))
@@ -90,29 +131,49 @@ def _best(rows: np.ndarray, ids: np.ndarray, values: np.ndarray, limit: int, sig
 
 
 def _nearest_of_tile(asked_ids: np.ndarray, asked: np.ndarray, ids: np.ndarray, stored: np.ndarray, limit: int, distance: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query_id, id, score)`` of the ``limit`` best entries of each query of a tile, computed in squares of bounded size."""
+    """``(query_id, id, score)`` of the ``limit`` best entries of each query of a tile, computed in squares of bounded size.
+
+    Approximate scores with a bound of their error tell which pairs can't be among the best; all others are scored exactly.
+    """
     sign = -1.0 if distance in ("cosine", "dot") else 1.0
+    whole = ~np.isnan(stored).any(1)
     out: list[tuple[np.ndarray, ...]] = []
     for i in range(0, len(asked), 256):
+        part = asked[i : i + 256]
         kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        worst = np.full(len(part), np.inf)  # of a query's best so far, if these are as many as asked for
         for j in range(0, len(stored), 4096):
-            values = _tile(distance, asked[i : i + 256], stored[j : j + 4096])
-            keys = np.where(np.isnan(values), np.inf, sign * values)
-            last = np.partition(keys, min(limit, keys.shape[1]) - 1, axis=1)[:, min(limit, keys.shape[1]) - 1]
-            at = np.nonzero(keys <= last[:, None])
-            kept = tuple(np.concatenate(x) for x in zip(kept, (at[0], ids[j + at[1]], values[at])))
-            best = _best(*kept, limit, sign)
-            kept = tuple(x[best] for x in kept)
+            square = stored[j : j + 4096]
+            with np.errstate(all="ignore"):
+                about, slack = _about(distance, part, square)
+                most = worst * worst * (1 + 2.0**-40) if distance == "euclid" else worst
+                if np.isinf(most).any() and len(square) > limit:
+                    above = about + slack
+                    above[np.isnan(above)] = np.inf
+                    most = np.minimum(most, np.partition(above, limit - 1, axis=1)[:, limit - 1])
+                near = ~(about > most[:, None] + slack)
+            near &= whole[j : j + 4096] | np.isinf(most)[:, None]
+            at = np.nonzero(near)
+            for k in range(0, len(at[0]), 1 << 18):
+                row, column = at[0][k : k + (1 << 18)], at[1][k : k + (1 << 18)]
+                kept = tuple(np.concatenate(x) for x in zip(kept, (row, ids[j + column], _scores(distance, part[row], square[column]))))
+                best = _best(*kept, limit, sign)
+                kept = tuple(x[best] for x in kept)
+            known = kept[0][~np.isnan(kept[2])]
+            full = np.bincount(known, minlength=len(part)) >= limit
+            high = np.full(len(part), -np.inf)
+            np.maximum.at(high, known, sign * kept[2][~np.isnan(kept[2])])
+            worst = np.where(full, high, np.inf)
         out.append((asked_ids[i + kept[0]], kept[1], kept[2]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def search_all(entries: DataFrame, queries: DataFrame, limit: int, distance: str = "cosine", id_col: str = "vec_id", column: str = "vector", block: int = 4096, tile: int = 65_536) -> DataFrame:
+def search_all(entries: DataFrame, queries: DataFrame, limit: int, distance: str = "cosine", id_col: str = "vec_id", column: str = "vector", block: int = 4096, tile: int = 8192) -> DataFrame:
     """``(query_id, id_col, score, rank)``: the ``limit`` nearest entries of every row of ``queries``, exactly; ties by id.
 
     Ids are whole numbers. Queries and entries are dealt by hash into blocks of about ``block`` and ``tile`` rows; each block of
-    queries meets each block of entries in one task, which keeps its own best rows of each query, and those are merged, before
-    the shuffle too. One plan for any number of queries; no vector reaches the driver. A vector that is
+    queries meets each block of entries in a group of its own, which keeps its best rows of each query, and those are merged. The
+    number of partitions follows the number of groups, not their bytes, as a group's work is the product of its two sides. One plan for any number of queries; no vector reaches the driver. A vector that is
     null or of another dimension has a null score, which comes last; queries must have one dimension.
     """
     if limit < 1:
@@ -142,7 +203,8 @@ def search_all(entries: DataFrame, queries: DataFrame, limit: int, distance: str
         found = _nearest_of_tile(ids[side], values[side], ids[~side], values[~side], limit, distance)
         return pa.table({"query_id": found[0], "id": found[1], "score": pa.array(found[2], mask=np.isnan(found[2]))})
 
-    found = one.unionByName(two).groupBy("query_block", "entry_block").applyInArrow(run, "query_id bigint, id bigint, score double")
+    groups = one.unionByName(two).repartition(min(2 * query_blocks * entry_blocks, MOST_PARTITIONS), "query_block", "entry_block")
+    found = groups.groupBy("query_block", "entry_block").applyInArrow(run, "query_id bigint, id bigint, score double")
     best = F.col("score").desc_nulls_last() if distance in ("cosine", "dot") else F.col("score").asc_nulls_last()
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(best, "id")))
     return ranked.filter(F.col("rank") <= limit).withColumnRenamed("id", id_col)

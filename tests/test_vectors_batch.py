@@ -49,3 +49,37 @@ def test_more_asked_than_there_are_and_no_queries(spark):
     assert sorted((r["rank"], r.vec_id, r.score) for r in found) == [(1, 1, 1.0), (2, 3, 0.0), (3, 2, None)]
     assert vectors.search_all(rows, rows.filter("vec_id = 99"), 10).count() == 0
     assert vectors.search_all(rows.filter("vec_id = 99"), rows.filter("vec_id = 1"), 10).count() == 0
+
+
+@pytest.mark.parametrize("distance", ["cosine", "dot", "euclid", "manhattan"])
+def test_few_pairs_are_scored_exactly(monkeypatch, distance):
+    import numpy as np
+
+    drawn, scored, plain = np.random.default_rng(4).normal(size=(9000, 16)), [], vectors._scores
+    monkeypatch.setattr(vectors, "_scores", lambda d, a, b: scored.append(np.prod(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))) or plain(d, a, b))
+    found = vectors._nearest_of_tile(np.arange(40), drawn[:40], np.arange(9000), drawn, 10, distance)
+    assert len(found[0]) == 400 and sum(scored) < 0.02 * 40 * 9000
+
+
+@pytest.mark.parametrize("distance", ["cosine", "dot", "euclid", "manhattan"])
+def test_odd_sizes_and_values_equal_a_plain_sort(distance):
+    import numpy as np
+
+    drawn = np.random.default_rng(6).normal(size=(5000, 6))
+    for k, scale in enumerate([1e-170, 1e-30, 1e30, 1e160, 1e300]):
+        drawn[k::9] *= scale
+    drawn[7::90], drawn[8::90, 2], drawn[17::90, 1], drawn[26::450] = 0.0, np.nan, np.inf, drawn[0]
+    ids, sign = np.arange(5000)[::-1], -1 if distance in ("cosine", "dot") else 1
+    with np.errstate(all="ignore"):
+        query_ids, found, _ = vectors._nearest_of_tile(np.arange(60), drawn[:60], ids, drawn, 12, distance)
+        values = vectors._tile(distance, drawn[:60], drawn)
+    for q in range(60):
+        order = np.lexsort((ids, np.where(np.isnan(values[q]), np.inf, sign * values[q])))[:12]
+        assert sorted(found[query_ids == q]) == sorted(ids[order])
+
+
+def test_partitions_follow_the_number_of_groups(spark):
+    rows = spark.range(400).selectExpr("id AS vec_id", "array(double(id), 1.0D) AS vector")
+    found = vectors.search_all(rows, rows.filter("vec_id % 20 = 0"), 3, "euclid", block=5, tile=40)
+    assert "hashpartitioning(query_block" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 80), REPARTITION_BY_NUM" in plan
+    assert found.count() == 60
